@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystone.llm import conversations, leaks, packing, repetition
+from quaystone.llm import conversations, leaks, newtext, packing, repetition
 from quaystone.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return newtext.new_lines(table(spark, d, "messages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.sound_conversations(table(spark, d, "messages"), table(spark, d, "engagements"))
 
@@ -28,7 +32,7 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p7_packed, p8_found, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_packed, p8_found, p9_found, p9_repetition)}
 SQL: dict[str, str] = {
     "p9_found": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
