@@ -4,14 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quaystone.llm import conversations, leaks, newtext, packing, repetition
+from quaystone.llm import conversations, leaks, names, newtext, packing, pii, repetition
 from quaystone.session import table
 
 
+def _all_mail(spark: SparkSession, d: str) -> list[DataFrame]:
+    return [table(spark, d, t) for t in ("messages", "sheets", "spans", "addresses")]
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.personal_items(*_all_mail(spark, d)).select("src_table", "row_id", "pii_kind", "start_pos").distinct()
+
+
+def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redacted(*_all_mail(spark, d))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return newtext.new_lines(table(spark, d, "messages"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_pairs(table(spark, d, "addresses"), table(spark, d, "entities"))
+
+
+def p5_classes(spark: SparkSession, d: str) -> DataFrame:
+    return names.same_name_classes(table(spark, d, "addresses"), table(spark, d, "entities"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.sound_conversations(table(spark, d, "messages"), table(spark, d, "engagements"))
 
@@ -32,7 +52,7 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p6_found, p7_packed, p8_found, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_classes, p6_found, p7_packed, p8_found, p9_found, p9_repetition)}
 SQL: dict[str, str] = {
     "p9_found": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
