@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +25,17 @@ BROADCAST_BYTES = 32 << 20
 _VECTOR_BYTES = 4096 + 64
 
 
-def with_position(messages: DataFrame) -> DataFrame:
-    """The scan with the file (as a hash of its path) and the row in it."""
-    return messages.withColumns({"_file": F.xxhash64(F.col("_metadata.file_path")), "_row": F.col("_metadata.row_index")})
+def with_position(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(_payload, _file, _row): the named columns as one struct, a hash of the path of the file, and the row in it.
+
+    What isn't a scan of files has no positions and is written to the shared folder first.
+    """
+    place = [F.xxhash64(F.col("_metadata.file_path")).alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    payload = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_payload")
+    try:
+        return rows.select(payload, *place)
+    except AnalysisException:
+        return cut(rows).select(payload, *place)
 
 
 def surplus_positions(placed: DataFrame, key: Column, order: list[Column]) -> DataFrame:
@@ -101,21 +110,27 @@ def mark(placed: DataFrame, positions: DataFrame, broadcast_bytes: int = BROADCA
     return _marked_from_files(placed, vectors)
 
 
+def _payload_marked(messages: DataFrame, columns: list[str]) -> DataFrame:
+    wanted = [c for c in dict.fromkeys([*columns, "message_id", "received_at", "delivery_id"]) if c in messages.columns]
+    placed = with_position(messages, wanted)
+    lost = surplus_positions(placed, message_key(F.col("_payload.message_id")), [F.col("_payload.received_at"), F.col("_payload.delivery_id")])
+    return mark(placed, lost)
+
+
 def deliveries_marked(messages: DataFrame, columns: list[str]) -> DataFrame:
-    """The named columns of messages and _surplus.
+    """The named columns of messages, whatever else it has, and _surplus.
 
     Of the rows with one message_id the earliest received_at stays, then the smallest
     delivery_id; a null received_at is latest. A null or blank message_id never matches.
-    messages must be a scan of files; an empty one gives an empty result.
+    Rows alike in all of these are told apart by their place, so one stays. An empty table gives an empty result.
     """
-    placed = with_position(messages)
-    lost = surplus_positions(placed, message_key(F.col("message_id")), [F.col("received_at"), F.col("delivery_id")])
-    return mark(placed.select(*columns, "_file", "_row"), lost).select(*columns, "_surplus")
+    return _payload_marked(messages, columns).select(*[F.col(f"_payload.`{c}`") for c in columns], F.col("_surplus"))
 
 
 def kept_messages(messages: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """The row of each message that stays, in full width."""
-    return deliveries_marked(messages, columns or messages.columns).where("not _surplus").drop("_surplus")
+    """The row of each message that stays, in full width or with the named columns; chosen as deliveries_marked says."""
+    columns = columns or messages.columns
+    return _payload_marked(messages, columns).where("not _surplus").select(*[F.col(f"_payload.`{c}`") for c in columns])
 
 
 def surplus_rows(messages: DataFrame, occurrences: DataFrame) -> DataFrame:

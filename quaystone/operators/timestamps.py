@@ -39,7 +39,7 @@ def known_zones(zones: DataFrame) -> list[str]:
 
 
 def to_utc(df: DataFrame, text: str, zone: str, whole: bool, out: str = "utc_micros") -> DataFrame:
-    """df with the UTC microseconds of the time written in a column, null if there is none.
+    """df with the UTC microseconds of the time written in a column, null if there is none; a column of that name is replaced.
 
     A stated offset or zone wins; else the time is local to the zone column, and has no instant
     where that is null, blank or unknown. Of a repeated local time the first is meant, a
@@ -51,14 +51,15 @@ def to_utc(df: DataFrame, text: str, zone: str, whole: bool, out: str = "utc_mic
     segments = segments_by_year(sorted({*zones, *_BRACKETED}), FIRST_YEAR, LAST_YEAR)
     table = spark.createDataFrame(segments, "_zone string, _year int, _lo bigint, _hi bigint, _matches int, _shift int")
     cell: Column = F.col(text)
+    cell_zone = F.col(zone)
     maybe = cell if whole else F.when(cell.rlike(r"\d[:hT]\d\d|\d h \d\d"), cell)
-    read = df.withColumn("_p", (_whole if whole else _within)(maybe))
+    read = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]).alias("_own"), cell_zone.alias("_record_zone"), (_whole if whole else _within)(maybe).alias("_p"))
     year = F.year(F.timestamp_micros(F.col("_p.local")))
-    read = read.withColumns({"_zone": F.when(F.col("_p.offset").isNull(), F.coalesce(F.col("_p.zone"), F.col(zone))), "_year": F.least(F.greatest(year, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)), "_local": F.col("_p.local")})
-    near = (F.col("_local") >= F.col("_lo")) & (F.col("_local") < F.col("_hi"))
-    found = read.alias("l").join(F.broadcast(table.alias("r")), (F.col("l._zone") == F.col("r._zone")) & (F.col("l._year") == F.col("r._year")) & near, "left")
-    shift = F.coalesce(F.col("_p.offset"), F.col("_shift"))
-    return found.select(*[F.col(f"l.`{c}`") for c in df.columns], (F.col("_local") - shift.cast("long") * 1_000_000).alias(out))
+    read = read.select("_own", F.col("_p.offset").alias("_offset"), F.col("_p.local").alias("_local"), F.when(F.col("_p.offset").isNull(), F.coalesce(F.col("_p.zone"), F.col("_record_zone"))).alias("_at_zone"), F.least(F.greatest(year, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)).alias("_at_year"))
+    near = (F.col("_at_zone") == F.col("_zone")) & (F.col("_at_year") == F.col("_year")) & (F.col("_local") >= F.col("_lo")) & (F.col("_local") < F.col("_hi"))
+    found = read.join(F.broadcast(table), near, "left")
+    shift = F.coalesce(F.col("_offset"), F.col("_shift"))
+    return found.select("_own.*", (F.col("_local") - shift.cast("long") * 1_000_000).alias(out))
 
 
 #: Zones that a text may name in brackets without an offset, besides those of the records.
