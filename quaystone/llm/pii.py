@@ -19,12 +19,17 @@ from pyspark.sql import functions as F
 
 from quaystone.llm.boosting import Trees, fit
 from quaystone.llm.names import _FORMAL, _PARTICLES, _TRADES, fold, read_person
+from quaystone.session import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 #: Texts that the trees are trained on at most, chosen by hash over all three tables.
 TRAIN_TEXTS = 6000
 #: Name parts that make up at least this share of the address book are known to every task: at most 1 / share of them.
 PART_SHARE = 2e-4
+#: A given name is borne by at least this share of people.
+GIVEN_SHARE = 1e-3
+#: In a book of so many names a part must be seen twice, lest a typing error count.
+SEEN_TWICE = 3000
 
 _BREAK = re.compile(r"\n(?:[ \t]*(?:>|\||::|[A-ZÀ-ÖØ-ÞŁ]{1,4}>)[ \t]?)*")
 _OPENING = re.compile(r"(?:[ \t]*(?:>|\||::|[A-ZÀ-ÖØ-ÞŁ]{1,4}>)[ \t]?)+")
@@ -109,6 +114,7 @@ _ORG_RIGHT = re.compile(r"\s*(?:inc|llc|ltd|gmbh|corp|co|s\.a\.|l\.l\.c\.|" + "|
 _PHONE_LEFT = re.compile(r"(?:call|phone|tel\.?|t:|m|mobile is|mobile|cell|fax|reach|at|dial|/|\+)\s*$", re.IGNORECASE)
 _ID_LEFT = re.compile(r"(?:ssn|social[\s\n]+security(?:[\s\n]+no\.?|[\s\n]+number)?|soc\.?[\s\n]+sec\.?|steuer-?id(?:nr)?\.?|tax[\s\n]+id|tin|passport|pass(?:-?nr\.?)|dni|nie|nif|ni[\s\n]+number|national[\s\n]+insurance(?:[\s\n]+number)?|licen[cs]e|personalausweis|identity[\s\n]+(?:card|number))\W*(?:no\.?|number|nr\.?|#)?[\s\n:#(]*$", re.IGNORECASE)
 _ID_NOT = re.compile(r"(?:serial|lot|tag|check|cheque|po|account|ticket|invoice|order|batch|number|voucher|policy|journal|item|request|posten|poste|saldo|cuenta|rechnung|factura|facture)\W*(?:number|is|no\.?|nr\.?)?[\s\n:#(]*(?:is[\s\n]*)?$", re.IGNORECASE)
+_ID_RIGHT = re.compile(r"\)?,?[\s\n]+(?:who[\s\n]+lives|home\b|phone\b)|[\s\n]+for[\s\n]+(?:(?:Mr|Ms|Mrs|Dr)\.|[A-ZÀ-ÖØ-ÞŁ][\w.'’-]*[\s\n,]+[A-ZÀ-ÖØ-ÞŁ])")
 _HEAD_ID = re.compile(r"tax id|ssn|social|^nr\.?$|steuer|nif|dni|passport|id no|identity|n° ?(?:fiscal|ss)|sécu|identif|licen[cs]e|national", re.IGNORECASE)
 _HEAD_NOT = re.compile(r"asset|serial|account|invoice|amount|debit|credit|cost|lot|order|voucher|current|\d", re.IGNORECASE)
 _HEAD_PHONE = re.compile(r"phone|tel|mobile|fax|movil|móvil", re.IGNORECASE)
@@ -116,6 +122,10 @@ _HEAD_HOME = re.compile(r"home|address|anschrift|adresse|domicili|direcci|remit|
 _HEAD_NAME = re.compile(r"^(?:name|employee|mitarbeiter|nom|employé|salarié|nombre|empleado|contact|person|kontakt|contacto)", re.IGNORECASE)
 
 
+# Words that stand before a family name without being a given name.
+_NO_GIVEN = {"mrs", "miss", "prof", "herr", "frau", "mme", "sir", "the", "and", "partner", "auditor", "team", "dear", "hello", "from", "von", "van", "der", "attention", "contact", "vendor", "name", "near", "with", "for", "bonjour", "hola", "hallo", "liebe", "guten", "good", "morning", "estimado", "estimada", "cher", "chere", "best", "regards", "thanks", "cheers", "sincerely", "cordialement", "saludos"}
+
+
 class Parts:
     """What the address book says of name parts: how often a word was a given or a family name, and how family names begin and end."""
 
@@ -213,11 +223,11 @@ class Reader:
                 e = self.phone_end(s, e)
                 if e < 0:
                     continue
-            left, right = t[max(0, s - 40) : s], t[e : e + 12]
+            left, right = t[max(0, s - 40) : s], t[e : e + 30]
             head, fills, person = self.cell(s, e)
             line_start = t.rfind("\n", 0, s) + 1
             alone = t[line_start:s].strip() == "" and (right == "" or right[0] == "\n")
-            common = (float(_FORMS.index(form)), float(bool(_ID_LEFT.search(left))), float(bool(_ID_NOT.search(left))), float(bool(_PHONE_LEFT.search(left))), float(bool(_HEAD_ID.search(head))), float(bool(_HEAD_NOT.search(head))), float(bool(_HEAD_PHONE.search(head))), fills, person, float(alone), float("*" in left[-4:] or "x" in left[-3:].lower()), float(sum(c.isdigit() for c in t[s:e])))
+            common = (float(_FORMS.index(form)), float(bool(_ID_LEFT.search(left))), float(bool(_ID_NOT.search(left))), float(bool(_PHONE_LEFT.search(left))), float(bool(_HEAD_ID.search(head))), float(bool(_HEAD_NOT.search(head))), float(bool(_HEAD_PHONE.search(head))), fills, person, float(alone), float("*" in left[-4:] or "x" in left[-3:].lower()), float(sum(c.isdigit() for c in t[s:e])), float(bool(_ID_RIGHT.match(right))))
             yield ("phone" if form in _PHONE_FORMS else "id_number"), s, e, common
 
     def streets(self):
@@ -241,8 +251,16 @@ class Reader:
         seen = self.parts.seen
         for i, (s, e, w) in enumerate(words):
             known = seen.get(w) or of(w)
-            if not known[4] or i + 1 == n:
-                continue
+            if i + 1 == n:
+                break
+            if not known[4]:
+                # an unknown given name, told by the family name after it
+                if len(w) < 3 or not w[0].isupper():
+                    continue
+                family = words[i + 1][2]
+                after = seen.get(family) or of(family)
+                if not (after[2] and after[3]) or after[0] or _case(family) != _case(w) or fold(w) in _NO_GIVEN:
+                    continue
             g, f, end, head, _ = known
             single = len(w) == 1
             if s and t[s - 1] in "@/&" and t[s - 4 : s] != "/s/ ":
@@ -256,7 +274,7 @@ class Reader:
                 body = gap[1:] if dot else gap
                 if body[:1] == "," and not comma and j == i + 1 + particles and not single:
                     comma, body = True, body[1:]
-                if not body or body.strip(" \t\xa0\n") or len(body) > 4 or body.count("\n") > 1 or "\t" in body:
+                if not body or body.strip(" \t\xa0\n") or len(body) > 4 or body.count("\n") > 1 or "\t" in body or self.tabs and "\n" in body:
                     j = n
                     break
                 if fold(x) in _PARTICLES and len(x) <= 3 and j - i <= 4:
@@ -275,7 +293,7 @@ class Reader:
             a, b, x = words[j]
             g2, f2, end2, head2, _ = of(x)
             initial2 = len(x) == 1 and x.isupper() and comma and (t[b : b + 1] != " " and "\n" not in gap)
-            if not (g2 or f2 or end2 or initial2):
+            if not (g2 or f2 or end2 or initial2 or comma and self.tabs and end and head and not g and len(x) > 2 and x[0].isupper()):
                 continue
             if single and not (f2 or end2):
                 continue
@@ -319,7 +337,7 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
             if named and not phone or head_not:
                 return 0
             return 1 if form in ("intl", "nat", "dash") or phone or head_phone or alone else None
-        if labelled or head_id or fills and person:
+        if labelled or head_id or fills and person or x[12]:
             return 1
         if named or head_not:
             return 0
@@ -334,6 +352,8 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
     if comma:
         if g and g2 and not (f or end):
             return 0
+        if not g2 and not initial2:
+            return int(bool(x[21] and x[20]))
         return int(bool((f or end) and (g2 or initial2)))
     if single:
         return int(bool(f2 or end2))
@@ -341,6 +361,8 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
         return 1
     if (f or end) and g2 and not g:
         return int(bool(x[13] == 2 and x[14] == 2 or x[15] or x[16] or x[20]))
+    if not g and end2 and x[7]:
+        return 1 if x[13] == x[14] and (x[15] or x[16] or x[20]) else None
     return 0 if not (f2 or end2 or f or end) or g and g2 else None
 
 
@@ -388,8 +410,8 @@ def find_items(texts: list[str | None], parts: Parts, models: dict[str, Trees])
     return [x[0] for x in out], [x[3] for x in out], [x[1] for x in out], [x[2] for x in out]
 
 
-def name_parts(addresses: DataFrame) -> Parts:
-    """Shares of given names, family names, their ends and heads in the address book.
+def name_parts(addresses: DataFrame, messages: DataFrame) -> Parts:
+    """Shares of given names, family names, their ends and heads in the address book and the heads of mails.
 
     Counted over all rows; only what reaches PART_SHARE of all parts comes to the driver, at most 1 / PART_SHARE rows of each sort.
     """
@@ -411,7 +433,9 @@ def name_parts(addresses: DataFrame) -> Parts:
             out.append((first, other) if other else (None, None))
         return pd.DataFrame(out, columns=["given", "family"], dtype=object)
 
-    said = addresses.select(split("display_name").alias("p")).select("p.*").where("given is not null")
+    typed = addresses.select(F.col("display_name").alias("name")).unionByName(messages.select(F.explode(F.concat(F.array("sender.display_name"), *[F.coalesce(F.transform(c, lambda a: a["display_name"]), F.array().cast("array<string>")) for c in ("to_addrs", "cc_addrs")])).alias("name")))
+    # each pair of parts counts once: a family name that one person types first has one partner, a given name has many
+    said = cut(typed.where("name is not null").distinct().select(split("name").alias("p")).select("p.*").where("given is not null").distinct())
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("w")) for k, v in (("given", F.col("given")), ("family", F.col("family")), ("end", F.when(F.length("family") > 5, F.substring(F.col("family"), -4, 4))), ("head", F.substring("family", 1, 3)))]))
     counted = said.select(kinds.alias("s")).select("s.*").where("w is not null").groupBy("k", "w").agg(F.count("*").alias("n"))
     total = said.count()
@@ -419,9 +443,10 @@ def name_parts(addresses: DataFrame) -> Parts:
     share: dict[str, dict[str, float]] = {k: {} for k in ("given", "family", "end", "head")}
     for r in rows:
         share[r.k][r.w] = r.n / max(1, total)
-    given = {w: v for w, v in share["given"].items() if v > 2 * share["family"].get(w, 0) and (v * total >= 2 or total < 50)}
+    least = 2 if total >= SEEN_TWICE else 1
+    given = {w: v for w, v in share["given"].items() if v > 2 * share["family"].get(w, 0) and v * total > least - 0.5 and v >= GIVEN_SHARE}
     family = {w: v for w, v in share["family"].items() if w not in given}
-    ends = {w: v for w, v in share["end"].items() if v * total >= 2 or total < 50}
+    ends = {w: v for w, v in share["end"].items() if v * total > least - 0.5}
     return Parts(given, family, ends, share["head"])
 
 
@@ -436,7 +461,7 @@ def trained(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses:
     The sample is a share of each table chosen by hash of its key, cut at its third of `most`; it only trains, what is searched
     is everything.
     """
-    parts = name_parts(addresses)
+    parts = name_parts(addresses, messages)
     sample = []
     for df, key, text in ((messages, "delivery_id", "body_text"), (sheets, "sheet_id", "text"), (spans, "span_id", "snippet")):
         n = df.count()

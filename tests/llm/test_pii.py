@@ -8,7 +8,7 @@ from quaystone.session import table
 
 SMALL = "/root/testdata/sf0.001"
 
-M = "delivery_id long, body_text string, text string, row_id string"
+M = "delivery_id long, body_text string, text string, row_id string, sender struct<display_name:string,email:string>, to_addrs array<struct<display_name:string,email:string>>, cc_addrs array<struct<display_name:string,email:string>>"
 S = "sheet_id long, text string"
 P = "span_id long, snippet string"
 
@@ -75,7 +75,7 @@ def test_view_maps_every_character():
 
 def test_redaction_keeps_the_rest(spark, known, monkeypatch):
     monkeypatch.setattr(pii, "trained", lambda *a, **k: known)
-    rows = [(1, "Call 976-555-0152 now", "clash", "x"), (2, None, None, None), (3, "", None, None), (4, "w " * 300_000 + "a@b.example", None, None)]
+    rows = [(1, "Call 976-555-0152 now", "clash", "x", None, None, None), (2, None, None, None, None, None, None), (3, "", None, None, None, None, None), (4, "w " * 300_000 + "a@b.example", None, None, None, None, None)]
     empty = spark.createDataFrame([], S), spark.createDataFrame([], P)
     got = {r.row_id: (r.text, r.n_items) for r in pii.redacted(spark.createDataFrame(rows, M), *empty, None).collect()}
     assert got[1] == ("Call [PHONE] now", 1) and got[3] == ("", 0) and got[4][0].endswith("w [EMAIL]") and 2 not in got
