@@ -186,6 +186,8 @@ class Items:
         if sum(n for n, _, _ in marked) < LEAST_COVER * size:
             return False
         lo, hi = max(0, int(at.min()) - size), min(len(doc), int(at.max()) + size + SEED)
+        if (~np.isin(item, doc[lo:hi])).sum() > size // EDIT_EVERY:  # words found nowhere are an edit each
+            return False
         return edits_around_gap(item, doc[lo:hi]) <= size // EDIT_EVERY
 
 
