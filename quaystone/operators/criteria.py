@@ -1,0 +1,81 @@
+"""Declared criteria held against the texts of an item: pass, fail, or not to be told.
+
+Each text answers for itself with flags of the JVM; an item's answer folds the flags of its
+texts, so no item's texts are ever put together.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quaystone.operators import facts
+
+
+def _rendered(day: Column) -> Column:
+    """The ways in which a day is written, in lower case."""
+    return F.array(F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "M/d/yyyy"), F.lower(F.date_format(day, "MMMM d, yyyy")))
+
+
+def evaluate(criteria: DataFrame, evidence: DataFrame, years: DataFrame, entities: DataFrame) -> DataFrame:
+    """(item_id, ordinal, kind, outcome) of each criterion of an item that has evidence.
+
+    criteria as sources.requests gives them; evidence: (item_id, doc_id, text); years: one row with fy_start, fy_end;
+    entities: (entity_name, is_parent), a short list. Only dates named in texts count for periods; an unknown kind has no row.
+    """
+    low = F.lower(F.coalesce("text", F.lit("")))
+    days = F.transform(facts.dates(F.col("text")), lambda s: s["value"])
+    sig = facts.signatures(F.col("text"))
+    docs = evidence.select("item_id", "doc_id", low.alias("low"), days.alias("days"), F.exists(sig, lambda s: s["signed"]).alias("signed"), F.exists(sig, lambda s: s["draft"]).alias("draft"), facts.standards(F.col("text")).alias("standards"))
+    e = entities.agg(F.collect_set(F.struct(facts.aliases(F.col("entity_name")).alias("names"), F.col("entity_name").alias("name"), F.col("is_parent").alias("parent"))).alias("es"))
+    j = criteria.join(docs, "item_id").join(F.broadcast(years.limit(1)), how="cross").join(F.broadcast(e), how="cross")
+    has = lambda xs: F.filter(xs, lambda x: F.contains(F.col("low"), F.lower(x)))
+    prior = lambda d: d.between(F.add_months("fy_start", -12), F.date_sub("fy_start", 1))
+    inside = lambda d: d.between(F.col("fy_start"), F.col("fy_end"))
+    flags = j.select(
+        "item_id", "ordinal", "kind", "period_kind", "start", "end", "end_is_report_date", "scope_word", "number", "labels", "target", "doc_id", "es",
+        F.exists("days", lambda d: d == F.col("end")).alias("exact"),
+        F.exists("days", inside).alias("in_fy"),
+        F.exists("days", prior).alias("prior"),
+        F.exists("days", lambda d: d.between(F.coalesce("start", "fy_start"), F.coalesce("end", "fy_end"))).alias("in_range"),
+        F.exists(_rendered(F.col("end")), lambda x: F.contains(F.col("low"), x)).alias("rendered"),
+        (F.regexp_extract("low", r"(?:as of|as at|period ended|year ended|balance as of)\s+\D{0,12}\s?\d{0,2},?\s?(\d{4})", 1).try_cast("int") != F.year("end")).alias("other_year"),
+        F.col("low").rlike(r"fy\d{2,4}|fiscal year").alias("fy_word"),
+        F.transform(F.filter("es", lambda x: F.exists(x["names"], lambda n: F.contains(F.col("low"), n))), lambda x: x["name"]).alias("found"),
+        F.col("low").rlike("subsidiar|consolidat").alias("group_word"),
+        "signed", "draft",
+        F.coalesce(has(F.col("labels")), F.array().cast("array<string>")).alias("held"),
+        F.coalesce(F.forall("labels", lambda p: facts.has_phrase(F.col("low"), p)), F.lit(True)).alias("phrases"),
+        F.exists("standards", lambda s: F.upper(F.regexp_replace(s, " ", "")) == F.upper(F.regexp_replace("target", " ", ""))).alias("standard"),
+        F.col("low").rlike("reconcil|variance|tie-out").alias("reconciled"),
+        F.coalesce(F.contains("low", F.concat(F.col("number").cast("int").cast("string"), F.lit(" month"))) | F.contains("low", F.concat(F.col("number").cast("int").cast("string"), F.lit("-month"))) | F.contains("low", F.lit("twelve month")), F.lit(False)).alias("horizon"),
+    )
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False)).alias(c)
+    names = ("exact", "in_fy", "prior", "in_range", "rendered", "other_year", "fy_word", "group_word", "signed", "draft", "phrases", "standard", "reconciled", "horizon")
+    folded = flags.groupBy("item_id", "ordinal", "kind").agg(
+        *[any_(c) for c in names], F.array_distinct(F.flatten(F.collect_set("found"))).alias("found"), F.array_distinct(F.flatten(F.collect_set("held"))).alias("held"), F.count_distinct("doc_id").alias("units"),
+        *[F.first(c).alias(c) for c in ("period_kind", "end_is_report_date", "scope_word", "number", "labels", "target", "es")],
+    )
+    told = lambda ok, bad: F.when(ok, "pass").when(bad, "fail").otherwise("unverifiable")
+    never = F.lit(False)
+    all_found = F.size(F.array_except(F.transform("es", lambda x: x["name"]), "found")) == 0
+    parent = F.exists("es", lambda x: x["parent"] & F.array_contains("found", x["name"]))
+    broad = F.lower("scope_word").isin("consolidated", "all", "all entities", "all subsidiaries")
+    period = F.when(F.coalesce("end_is_report_date", never), "unverifiable").when(F.col("period_kind") == "RANGE", told(F.col("in_range"), F.col("prior")))
+    period = period.when(F.col("period_kind") == "FISCAL_YEAR", told(F.col("in_fy") | F.col("fy_word"), F.col("prior")))
+    period = period.otherwise(F.when(F.col("exact"), "pass").when(F.col("other_year"), "fail").when(F.col("rendered") | F.col("in_fy"), "pass").otherwise("unverifiable"))
+    entity = F.when(broad, told(all_found | (F.lower("scope_word") == "consolidated") & parent & F.col("group_word"), F.size("found") > 0)).otherwise(told(F.size("found") > 0, never))
+    count = F.when(F.col("target") == "minimum", told(F.col("units") >= F.col("number"), F.col("units") < F.col("number"))).otherwise("pass")
+    outcome = (
+        F.when(F.col("kind") == "period", period)
+        .when(F.col("kind") == "entity", entity)
+        .when(F.col("kind") == "signature", told(F.col("signed"), F.lit(True)))
+        .when(F.col("kind") == "bucket", told(F.size(F.array_except("labels", "held")) == 0, F.lit(True)))
+        .when(F.col("kind") == "include", told(F.col("phrases"), never))
+        .when(F.col("kind") == "standard", told(F.col("standard"), never))
+        .when(F.col("kind") == "count", count)
+        .when(F.col("kind") == "reconciles", told(F.col("reconciled"), never))
+        .when(F.col("kind") == "horizon", told(F.col("horizon"), never))
+        .when(F.col("kind") == "threshold", "unverifiable")
+    )
+    return folded.select("item_id", "ordinal", "kind", outcome.alias("outcome")).where("outcome is not null")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quaystone.operators import facts, gate, matching, threads, versions
+from quaystone.operators import criteria, facts, gate, matching, threads, versions
 from quaystone.operators.ranking import spread_row_number
 from quaystone.session import table
+from quaystone.sources import requests
 
 _MONTHS = facts.MONTH
 
@@ -139,6 +140,24 @@ def check_period(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("engagement_id").agg(F.count_if(inside).alias("n_inside"), F.count_if(F.col("v") < F.col("fy_start")).alias("n_before"), F.bool_or(F.col("v") == F.col("fiscal_year_end")).alias("exact"))
 
 
+_CLAUSES = "period=FY2026, standard=ASC 606, must_include=[bank reconciliation], reconciles_to_gl=true, horizon_months=12, sample_size=30, signed=true, threshold_usd=5000"
+
+
+def criteria_parsed(spark: SparkSession, d: str) -> DataFrame:
+    """The clauses of every item that documents refer to, read from text."""
+    items = table(spark, d, "documents").select(F.col("item_ref").alias("item_id")).where("item_id is not null").distinct().withColumn("acceptance", F.lit(_CLAUSES))
+    return requests.criteria(items).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "kind", "raw")
+
+
+def criteria_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    """Those clauses held against the documents that refer to the item."""
+    docs = table(spark, d, "documents").select(F.col("item_ref").alias("item_id"), "doc_id", "text").where("item_id is not null")
+    items = docs.select("item_id").distinct().withColumn("acceptance", F.lit(_CLAUSES))
+    years = spark.sql("SELECT DATE '2025-07-01' AS fy_start, DATE '2026-06-30' AS fy_end")
+    nobody = spark.createDataFrame([], "entity_name string, is_parent boolean")
+    return criteria.evaluate(requests.criteria(items), docs, years, nobody).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "kind", "outcome")
+
+
 def agg_dense_states(spark: SparkSession, d: str) -> DataFrame:
     dim = spark.createDataFrame([("visible",), ("hidden",), ("veryHidden",), ("unknown",)], "sheet_state string")
     n = table(spark, d, "sheets").groupBy("sheet_state").agg(F.count("*").alias("k"))
@@ -230,7 +249,7 @@ QUERIES = {
     for f in (
         thread_subjects, thread_components, thread_sizes, dedup_first_seen, dedup_reused, container_chains, container_counts, ordered_documents, fact_dates, fact_amounts, fact_standards, fact_signatures,
         fact_entities, fact_sentences, fact_requests, fact_filename_years, fact_places, gate_findings, gate_redacted, gate_summary, bm25_best, version_groups, anomaly_final_draft, anomaly_stale_period, check_entities,
-        check_period, agg_dense_states, agg_histogram, agg_cube, agg_confusion, window_running_budget, window_last_write, window_fill_forward, window_row_numbers, set_operations, join_documents_of_mail, join_discovered,
+        check_period, criteria_parsed, criteria_outcomes, agg_dense_states, agg_histogram, agg_cube, agg_confusion, window_running_budget, window_last_write, window_fill_forward, window_row_numbers, set_operations, join_documents_of_mail, join_discovered,
         report_json, olap_pricing, olap_nation_revenue,
     )
 }
@@ -305,6 +324,20 @@ SELECT version_key, max(CASE WHEN k = n THEN filename END) AS latest_filename, m
     "anomaly_stale_period": f"WITH y AS (SELECT doc_id, max(year(value)) AS content_year FROM ({_DATES.format(key='doc_id', text='snippet', table='spans')}) WHERE value IS NOT NULL GROUP BY doc_id), n AS (SELECT DISTINCT doc_id, filename, list_min({_YEARS}) AS name_year FROM occurrences) SELECT doc_id, filename, name_year, content_year FROM n JOIN y USING (doc_id) WHERE content_year < name_year",
     "check_entities": f"WITH {_MENTIONS}, a AS (SELECT engagement_id, count(DISTINCT entity_id) AS n_required FROM entities GROUP BY ALL), f AS (SELECT engagement_id, count(DISTINCT entity_id) AS k FROM mention GROUP BY ALL) SELECT engagement_id, n_required, coalesce(k, 0) AS n_found, coalesce(k, 0) = n_required AS covered FROM a LEFT JOIN f USING (engagement_id)",
     "check_period": f"WITH v AS (SELECT engagement_id, value AS v FROM ({_DATES.format(key='engagement_id', text='body_text', table='messages')}) WHERE value IS NOT NULL) SELECT engagement_id, count_if(v BETWEEN (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1 AND fiscal_year_end) AS n_inside, count_if(v < (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1) AS n_before, bool_or(v = fiscal_year_end) AS exact FROM v JOIN engagements USING (engagement_id) GROUP BY engagement_id",
+    "criteria_parsed": """
+WITH i AS (SELECT DISTINCT item_ref AS item_id FROM documents WHERE item_ref IS NOT NULL)
+SELECT item_id, ordinal, kind, raw FROM i, (VALUES (0::BIGINT, 'period', 'period=FY2026'), (1, 'standard', 'standard=ASC 606'), (2, 'include', 'must_include=[bank reconciliation]'), (3, 'reconciles', 'reconciles_to_gl=true'), (4, 'horizon', 'horizon_months=12'), (5, 'count', 'sample_size=30'), (6, 'signature', 'signed=true'), (7, 'threshold', 'threshold_usd=5000')) c(ordinal, kind, raw)""",
+    "criteria_outcomes": rf"""
+WITH t AS (SELECT item_ref AS item_id, doc_id, coalesce(text, '') AS x, lower(coalesce(text, '')) AS low FROM documents WHERE item_ref IS NOT NULL),
+v AS (SELECT doc_id, value FROM ({_DATES.format(key='doc_id', text='text', table='documents')}) WHERE value IS NOT NULL),
+y AS (SELECT doc_id, bool_or(value BETWEEN DATE '2025-07-01' AND DATE '2026-06-30') AS fy, bool_or(value BETWEEN DATE '2024-07-01' AND DATE '2025-06-30') AS prior FROM v GROUP BY doc_id),
+f AS (SELECT item_id, coalesce(bool_or(fy), false) OR bool_or(regexp_matches(low, 'fy\d{{2,4}}|fiscal year')) AS fy, coalesce(bool_or(prior), false) AS prior, bool_or(regexp_matches(x, '(?i)\bASC\s?606\b')) AS standard,
+  bool_or(contains(low, 'bank') AND contains(low, 'reconciliation')) AS phrase, bool_or(regexp_matches(low, 'reconcil|variance|tie-out')) AS recon, bool_or(contains(low, '12 month') OR contains(low, '12-month') OR contains(low, 'twelve month')) AS horizon,
+  bool_or(regexp_matches(x, '{facts.SIGNED}') AND NOT regexp_matches(x, '(?i){_DRAFT}')) AS signed FROM t LEFT JOIN y USING (doc_id) GROUP BY item_id)
+SELECT item_id, 0::BIGINT AS ordinal, 'period' AS kind, CASE WHEN fy THEN 'pass' WHEN prior THEN 'fail' ELSE 'unverifiable' END AS outcome FROM f
+UNION ALL SELECT item_id, 1, 'standard', CASE WHEN standard THEN 'pass' ELSE 'unverifiable' END FROM f UNION ALL SELECT item_id, 2, 'include', CASE WHEN phrase THEN 'pass' ELSE 'unverifiable' END FROM f
+UNION ALL SELECT item_id, 3, 'reconciles', CASE WHEN recon THEN 'pass' ELSE 'unverifiable' END FROM f UNION ALL SELECT item_id, 4, 'horizon', CASE WHEN horizon THEN 'pass' ELSE 'unverifiable' END FROM f
+UNION ALL SELECT item_id, 5, 'count', 'pass' FROM f UNION ALL SELECT item_id, 6, 'signature', CASE WHEN signed THEN 'pass' ELSE 'fail' END FROM f UNION ALL SELECT item_id, 7, 'threshold', 'unverifiable' FROM f""",
     "agg_dense_states": "SELECT s AS sheet_state, count(sheet_id) AS n FROM (VALUES ('visible'), ('hidden'), ('veryHidden'), ('unknown')) t(s) LEFT JOIN sheets ON sheet_state = s GROUP BY s",
     "agg_histogram": "SELECT field_kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY field_kind",
     "agg_cube": "SELECT lang, doc_kind, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping_id(lang, doc_kind) AS level FROM documents GROUP BY CUBE (lang, doc_kind)",
