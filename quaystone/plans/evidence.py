@@ -192,7 +192,7 @@ def window_last_write(spark: SparkSession, d: str) -> DataFrame:
 
 def window_fill_forward(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w).alias("section"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("section"))
 
 
 def window_row_numbers(spark: SparkSession, d: str) -> DataFrame:
@@ -347,7 +347,7 @@ c AS (SELECT count_if(truth AND told) AS tp, count_if(told AND NOT coalesce(trut
 SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE round(tp / (tp + fp), 3) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE round(tp / (tp + fn), 3) END AS recall FROM c""",
     "window_running_budget": "SELECT o_custkey, count(*) AS n_within FROM (SELECT o_custkey, coalesce(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM orders) WHERE b < 200000 GROUP BY o_custkey",
     "window_last_write": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
-    "window_fill_forward": "SELECT event_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM events",
+    "window_fill_forward": "SELECT event_id, coalesce(last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), -1) AS section FROM events",
     "window_row_numbers": "SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC NULLS LAST, doc_id) AS place FROM documents) WHERE place <= 3",
     "set_operations": """
 WITH b AS (SELECT DISTINCT lower(email) AS email FROM addresses WHERE email IS NOT NULL), s AS (SELECT DISTINCT lower(sender.email) AS email FROM messages WHERE sender.email IS NOT NULL),
