@@ -294,7 +294,7 @@ SQL = {
     "dedup_first_seen": "SELECT doc_id, arg_min(filename, occ_id) AS filename, count(*) AS n_occurrences, count(DISTINCT message_source) AS n_sources FROM occurrences GROUP BY doc_id",
     "dedup_reused": "SELECT doc_id, count(DISTINCT message_source) AS n_sources, count(*) AS n_occurrences FROM occurrences GROUP BY doc_id HAVING count(DISTINCT message_source) > 1",
     "container_chains": r"SELECT occ_id, array_to_string(container_chain, ' > ') AS chain, len(container_chain) AS depth, container_chain[-1] AS leaf, lower(string_split(filename, '.')[-1]) AS suffix FROM occurrences",
-    "container_counts": "SELECT count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents, count_if(is_top_level_attachment) AS n_top, count_if(len(container_chain) > 2) AS n_nested, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.eml')) > 0) AS n_in_mail, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.zip')) > 0) AS n_in_zip FROM occurrences",
+    "container_counts": "SELECT count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents, count_if(is_top_level_attachment)::BIGINT AS n_top, count_if(len(container_chain) > 2)::BIGINT AS n_nested, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.eml')) > 0)::BIGINT AS n_in_mail, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.zip')) > 0)::BIGINT AS n_in_zip FROM occurrences",
     "ordered_documents": "SELECT message_source, string_agg(doc_id, ',' ORDER BY o) AS doc_ids FROM (SELECT message_source, doc_id, min(occ_id) AS o FROM occurrences WHERE message_source IS NOT NULL GROUP BY ALL) GROUP BY message_source",
     "fact_dates": f"SELECT doc_id, pat_no, value::VARCHAR AS value, count(*) AS n FROM ({_DATES.format(key='doc_id', text='text', table='documents')}) WHERE value IS NOT NULL GROUP BY ALL",
     "fact_amounts": f"SELECT doc_id, len(a) AS n, list_max(a) AS largest, a[1] AS first_amount FROM (SELECT doc_id, {_AMOUNTS} AS a FROM documents) WHERE len(a) > 0",
@@ -323,7 +323,7 @@ SELECT version_key, max(CASE WHEN k = n THEN filename END) AS latest_filename, m
     "anomaly_final_draft": rf"SELECT DISTINCT doc_id, filename FROM occurrences WHERE regexp_matches(filename, '{versions.FINAL_WORDS}') AND doc_id IN (SELECT doc_id FROM spans WHERE regexp_matches(coalesce(snippet, ''), '(?i){_DRAFT}'))",
     "anomaly_stale_period": f"WITH y AS (SELECT doc_id, max(year(value)) AS content_year FROM ({_DATES.format(key='doc_id', text='snippet', table='spans')}) WHERE value IS NOT NULL GROUP BY doc_id), n AS (SELECT DISTINCT doc_id, filename, list_min({_YEARS}) AS name_year FROM occurrences) SELECT doc_id, filename, name_year, content_year FROM n JOIN y USING (doc_id) WHERE content_year < name_year",
     "check_entities": f"WITH {_MENTIONS}, a AS (SELECT engagement_id, count(DISTINCT entity_id) AS n_required FROM entities GROUP BY ALL), f AS (SELECT engagement_id, count(DISTINCT entity_id) AS k FROM mention GROUP BY ALL) SELECT engagement_id, n_required, coalesce(k, 0) AS n_found, coalesce(k, 0) = n_required AS covered FROM a LEFT JOIN f USING (engagement_id)",
-    "check_period": f"WITH v AS (SELECT engagement_id, value AS v FROM ({_DATES.format(key='engagement_id', text='body_text', table='messages')}) WHERE value IS NOT NULL) SELECT engagement_id, count_if(v BETWEEN (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1 AND fiscal_year_end) AS n_inside, count_if(v < (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1) AS n_before, bool_or(v = fiscal_year_end) AS exact FROM v JOIN engagements USING (engagement_id) GROUP BY engagement_id",
+    "check_period": f"WITH v AS (SELECT engagement_id, value AS v FROM ({_DATES.format(key='engagement_id', text='body_text', table='messages')}) WHERE value IS NOT NULL) SELECT engagement_id, count_if(v BETWEEN (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1 AND fiscal_year_end)::BIGINT AS n_inside, count_if(v < (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1)::BIGINT AS n_before, bool_or(v = fiscal_year_end) AS exact FROM v JOIN engagements USING (engagement_id) GROUP BY engagement_id",
     "criteria_parsed": """
 WITH i AS (SELECT DISTINCT item_ref AS item_id FROM documents WHERE item_ref IS NOT NULL)
 SELECT item_id, ordinal, kind, raw FROM i, (VALUES (0::BIGINT, 'period', 'period=FY2026'), (1, 'standard', 'standard=ASC 606'), (2, 'include', 'must_include=[bank reconciliation]'), (3, 'reconciles', 'reconciles_to_gl=true'), (4, 'horizon', 'horizon_months=12'), (5, 'count', 'sample_size=30'), (6, 'signature', 'signed=true'), (7, 'threshold', 'threshold_usd=5000')) c(ordinal, kind, raw)""",
@@ -343,7 +343,7 @@ UNION ALL SELECT item_id, 5, 'count', 'pass' FROM f UNION ALL SELECT item_id, 6,
     "agg_cube": "SELECT lang, doc_kind, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping_id(lang, doc_kind) AS level FROM documents GROUP BY CUBE (lang, doc_kind)",
     "agg_confusion": """
 WITH m AS (SELECT lower(sender.email) = lower(portal_email) AS truth, coalesce(regexp_matches(subject, '(?i)^pbc-'), false) AS told FROM messages JOIN engagements USING (engagement_id)),
-c AS (SELECT count_if(truth AND told) AS tp, count_if(told AND NOT coalesce(truth, false)) AS fp, count_if(truth AND NOT told) AS fn FROM m)
+c AS (SELECT count_if(truth AND told)::BIGINT AS tp, count_if(told AND NOT coalesce(truth, false))::BIGINT AS fp, count_if(truth AND NOT told)::BIGINT AS fn FROM m)
 SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE round(tp / (tp + fp), 3) END AS precision, CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE round(tp / (tp + fn), 3) END AS recall FROM c""",
     "window_running_budget": "SELECT o_custkey, count(*) AS n_within FROM (SELECT o_custkey, coalesce(sum(o_totalprice::DECIMAL(18,2)) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM orders) WHERE b < 200000 GROUP BY o_custkey",
     "window_last_write": "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1",
