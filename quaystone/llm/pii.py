@@ -26,6 +26,8 @@ KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 TRAIN_TEXTS = 6000
 #: Name parts that make up at least this share of the address book are known to every task: at most 1 / share of them.
 PART_SHARE = 2e-4
+#: Family names end and begin alike in at least this share; typing errors make rarer ends.
+END_SHARE = 2e-3
 #: A given name is borne by at least this share of people.
 GIVEN_SHARE = 1e-3
 #: In a book of so many names a part must be seen twice, lest a typing error count.
@@ -361,8 +363,9 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
         return 1
     if (f or end) and g2 and not g:
         return int(bool(x[13] == 2 and x[14] == 2 or x[15] or x[16] or x[20]))
-    if not g and end2 and x[7]:
-        return 1 if x[13] == x[14] and (x[15] or x[16] or x[20]) else None
+    if not g and not g2:
+        told = end2 and x[7] and x[13] == x[14] >= 1
+        return 0 if not told else 1 if x[15] or x[16] or x[20] else None
     return 0 if not (f2 or end2 or f or end) or g and g2 else None
 
 
@@ -446,8 +449,8 @@ def name_parts(addresses: DataFrame, messages: DataFrame) -> Parts:
     least = 2 if total >= SEEN_TWICE else 1
     given = {w: v for w, v in share["given"].items() if v > 2 * share["family"].get(w, 0) and v * total > least - 0.5 and v >= GIVEN_SHARE}
     family = {w: v for w, v in share["family"].items() if w not in given}
-    ends = {w: v for w, v in share["end"].items() if v * total > least - 0.5}
-    return Parts(given, family, ends, share["head"])
+    ends, heads = ({w: v for w, v in share[k].items() if v >= END_SHARE} for k in ("end", "head"))
+    return Parts(given, family, ends, heads)
 
 
 def all_texts(messages: DataFrame, sheets: DataFrame, spans: DataFrame) -> DataFrame:
