@@ -49,7 +49,7 @@ def surplus_positions(placed: DataFrame, key: Column, order: list[Column]) -> Da
     rank = F.struct(*[F.struct(o.isNull().alias("n"), o.alias("v")).alias(f"o{i}") for i, o in enumerate(order)], F.col("_file").alias("f"), F.col("_row").alias("r"))
     slim = placed.select(key.alias("_key"), rank.alias("_rank")).where("_key is not null")
     winners = slim.groupBy("_key").agg(F.min("_rank").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("_key", "_first")
-    return slim.join(winners.hint("shuffle_hash"), "_key").where(F.col("_rank") > F.col("_first")).select(F.col("_rank.f").alias("_file"), F.col("_rank.r").alias("_row"))
+    return slim.join(winners, "_key").where(F.col("_rank") > F.col("_first")).select(F.col("_rank.f").alias("_file"), F.col("_rank.r").alias("_row"))
 
 
 def deletion_vectors(positions: DataFrame) -> DataFrame:
