@@ -91,7 +91,8 @@ def source_containers_expanded(spark: SparkSession, d: str) -> DataFrame:
         return pd.Series([_nested(["root", *c], x.encode()) for c, x in zip(chain, content)])
 
     o = table(spark, d, "occurrences")
-    packed = o.select(F.col("occ_id").cast("string").alias("source_path"), pack("container_chain", "doc_id").alias("content"))
+    # a mail takes milliseconds to build and to walk, so even a small file is spread over all cores
+    packed = o.select("occ_id", "container_chain", "doc_id").repartition(F.col("occ_id")).select(F.col("occ_id").cast("string").alias("source_path"), pack("container_chain", "doc_id").alias("content"))
     found = containers.expand(packed).where("sniffed_type not in ('archive', 'email')")
     chain = F.slice("container_chain", F.lit(2), F.size("container_chain"))
     return found.select(F.col("message_source").cast("long").alias("occ_id"), F.array_join(chain, " > ").alias("chain"), F.col("doc_id").alias("hash"), F.col("is_top_level_attachment").alias("top"))

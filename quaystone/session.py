@@ -39,7 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(configured)
         return configured
-    if not sc.master.startswith("local["):
+    if sc.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     held = sc._jsc.sc().getCheckpointDir()
     if held.isEmpty():
