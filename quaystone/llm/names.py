@@ -3,8 +3,8 @@
 Names are reduced to their parts: titles, roles, legal forms and middle initials go, nicknames and
 abbreviations become the full word, order stops to matter. Distinct names meet by a
 pigeonhole segment join: each is cut into k+1 segments that stand in an inverted index,
-and looked up with the substrings of the others at shifted positions; a banded edit
-distance verifies. Names with an initial only, and initials of organisations, are then
+and looked up with the substrings of the others at shifted positions, also with a swap across
+two segments; a banded edit distance verifies. Names with an initial only, and initials of organisations, are then
 given to the one cluster of full names that fits. Everything is keyed by engagement and segment, so
 an engagement that holds a third of all rows spreads over all tasks.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from quaystone.operators.graph import components
 from quaystone.session import cut
 
-#: Edits that the segment join finds; a swap of neighbours counts two here and one when verified.
+#: Edits that the segment join finds.
 K = 2
 #: A spelling this frequent over all rows, and this near to the other's frequency, is a name of its own and no typing error.
 OWN_COUNT, OWN_RATIO = 4, 0.2
@@ -209,8 +209,12 @@ def index_keys(text: str, k: int = K) -> list[str]:
     return [f"{len(text)}|{i}|{text[s : s + n]}" for i, (s, n) in enumerate(_cuts(len(text), k))]
 
 
-def probe_keys(text: str, k: int = K) -> set[str]:
-    """Keys that any string within k edits stands under: its segments at positions shifted by what k edits allow."""
+def probe_keys(text: str, k: int = K, swaps: bool = False) -> set[str]:
+    """Keys that any string within k edits stands under: its segments at positions shifted by what k edits allow.
+
+    With swaps, a swap of neighbours is one edit. Inside a segment it is like any other; across two it is charged to
+    the right one, so the segment that no edit is charged to may end with the letter after the next.
+    """
     out = set()
     size = len(text)
     for other in range(max(0, size - k), size + k + 1):
@@ -224,19 +228,22 @@ def probe_keys(text: str, k: int = K) -> set[str]:
             hi = min(size - n, s + i, s + diff + (k - i))
             for p in range(lo, hi + 1):
                 out.add(f"{other}|{i}|{text[p : p + n]}")
+                if swaps and i < k and p + n < size:
+                    out.add(f"{other}|{i}|{text[p : p + n - 1]}{text[p + n]}")
     return out
 
 
-def segment_join(index: DataFrame, probe: DataFrame, carry: list[str], k: int = K) -> DataFrame:
+def segment_join(index: DataFrame, probe: DataFrame, carry: list[str], k: int = K, swaps: bool = False) -> DataFrame:
     """Pairs of an index and a probe row with one scope whose texts are within k edits: (l_x, r_x for x in carry).
 
-    index and probe hold scope, text and the carried columns.
+    index and probe hold scope, text and the carried columns. With swaps, all pairs within k edits of which a swap of
+    neighbours is one, and some others: s swaps and e other edits make at most 2 s + e plain ones and change e letters.
     """
 
     def keyed(make):
         def run(parts):
             for p in parts:
-                keys = [sorted(make(t, k)) for t in p["text"]]
+                keys = [sorted(make(t)) for t in p["text"]]
                 n = [len(x) for x in keys]
                 q = p.loc[p.index.repeat(n)].reset_index(drop=True)
                 q["key"] = [y for x in keys for y in x]
@@ -245,11 +252,16 @@ def segment_join(index: DataFrame, probe: DataFrame, carry: list[str], k: int =
         return run
 
     fields = ", ".join(f"{n} {t}" for n, t in index.select("scope", "text", *carry).dtypes)
-    left = index.select("scope", "text", *carry).mapInPandas(keyed(index_keys), fields + ", key string")
-    right = probe.select("scope", "text", *carry).mapInPandas(keyed(probe_keys), fields + ", key string")
+    left = index.select("scope", "text", *carry).mapInPandas(keyed(lambda t: index_keys(t, k)), fields + ", key string")
+    right = probe.select("scope", "text", *carry).mapInPandas(keyed(lambda t: probe_keys(t, k, swaps)), fields + ", key string")
     left = left.select(F.xxhash64("scope", "key").alias("h"), F.col("scope").alias("l_scope"), F.col("text").alias("l_text"), *[F.col(c).alias(f"l_{c}") for c in carry])
     right = right.select(F.xxhash64("scope", "key").alias("h"), F.col("scope").alias("r_scope"), F.col("text").alias("r_text"), *[F.col(c).alias(f"r_{c}") for c in carry])
-    near = (F.col("l_scope") == F.col("r_scope")) & (F.col("l_node") != F.col("r_node")) & (F.levenshtein("l_text", "r_text", k) >= 0)
+    within = F.levenshtein("l_text", "r_text", k) >= 0
+    if swaps:
+        plain = F.levenshtein("l_text", "r_text", 2 * k)
+        letters = [F.array_join(F.array_sort(F.split(c, "")), "") for c in ("l_text", "r_text")]
+        within = within | ((plain > k) & (F.levenshtein(*letters) <= 2 * (2 * k - plain)))
+    near = (F.col("l_scope") == F.col("r_scope")) & (F.col("l_node") != F.col("r_node")) & within
     return left.join(right, "h").where(near).drop("h").distinct()
 
 
@@ -285,7 +297,7 @@ def linked_rows(addresses: DataFrame, entities: DataFrame) -> DataFrame:
     carry = ["node", "kind", "a", "b"]
     shown = strong.withColumn("text", F.explode(orders))
     first = strong.withColumn("text", F.element_at(orders, 1))
-    pairs = segment_join(shown, first, carry).select("l_node", "r_node", "l_kind", "l_a", "l_b", "r_a", "r_b").where("l_node < r_node").distinct()
+    pairs = segment_join(shown, first, carry, swaps=True).select("l_node", "r_node", "l_kind", "l_a", "l_b", "r_a", "r_b").where("l_node < r_node").distinct()
 
     @F.pandas_udf("ok boolean, differ array<struct<t: string, u: string>>")
     def verify(kind: pd.Series, la: pd.Series, lb: pd.Series, ra: pd.Series, rb: pd.Series) -> pd.DataFrame:

@@ -34,6 +34,32 @@ def test_segment_join_loses_no_pair(spark):
     assert got == {(a, b) for (a, s, x), (b, t, y) in combinations(rows, 2) if s == t and _edit(x, y, False) <= 2}
 
 
+def test_swaps_are_candidates_as_the_verifier_counts_them(spark):
+    rng = random.Random(6)
+    pool = ["".join(rng.choice("abc") for _ in range(rng.randrange(10))) for _ in range(160)]
+    for text in ["joequiiwickham", "theodoreforstfields", "richnrdsteldelow", "abcdefghijkl"]:
+        for _ in range(30):
+            x = list(text)
+            for _ in range(2):
+                i = rng.randrange(len(x) - 1)
+                x[i : i + 2] = rng.choice([[x[i + 1], x[i]], [x[i + 1], x[i]], [x[i]], [x[i], "q", x[i + 1]], ["z", x[i + 1]]])
+            pool.append("".join(x))
+        pool.append(text)
+    near = {(i, j) for (i, a), (j, b) in combinations(enumerate(pool), 2) if names.damerau(a, b, 2) <= 2}
+    for i, j in near:
+        assert set(names.index_keys(pool[i])) & names.probe_keys(pool[j], swaps=True) and set(names.index_keys(pool[j])) & names.probe_keys(pool[i], swaps=True)
+    df = spark.createDataFrame([(i, "s", t) for i, t in enumerate(pool)], "node long, scope string, text string")
+    got = {(r.l_node, r.r_node) for r in names.segment_join(df, df, ["node"], swaps=True).collect()}
+    assert near <= got
+
+
+def test_swap_and_another_edit_or_two_swaps_link(spark):
+    rows = ["Joe Quiiwickham", "Joe Quilwikcham", "Theodore Forstfields", "Thheodore Frostfields", "Richnrd Steldelow", "Richard Setldelow", "Margaret Oslandez", "Magraret Osladnez"]
+    df = spark.createDataFrame([(i, "e", n, None, "", "") for i, n in enumerate(rows)], A)
+    got = {(r.id_a, r.id_b) for r in names.same_name_pairs(df, spark.createDataFrame([], E_)).collect()}
+    assert got == {(0, 1), (2, 3), (4, 5), (6, 7)}
+
+
 def test_people(spark):
     rows = [
         "Thomas Grimdottir", "GRIMDOTTIR THOMAS", "Hr. Thomas Grimdottir", "Tommy J Grimdottir", "T Grimdittir", "Thoomas Grimdottir", "Thomas Grimdottir (Audit Senior)",
