@@ -280,15 +280,19 @@ def linked_rows(addresses: DataFrame, entities: DataFrame) -> DataFrame:
     """(src_table, id, label): rows of one table and engagement with one label mean the same.
 
     Rows with null or blank names, or whose name is that of a shared mailbox, are absent;
-    a null engagement_id links to nothing. A name with an initial
-    that fits several clusters goes to the one that its email names, else to none.
+    a row with null engagement_id has a label of its own. A name with an initial
+    that fits several clusters goes to the one that its email names, else it stays with its like: the same spelling
+    and mailbox, or spellings within one edit with one mailbox.
     """
     people = _parsed(addresses.select(F.col("addr_id").cast("long").alias("id"), F.col("engagement_id").alias("eng"), F.lower("email").alias("email"), F.col("display_name").alias("name")), "addresses")
     firms = _parsed(entities.select(F.col("entity_id").cast("long").alias("id"), F.col("engagement_id").alias("eng"), F.lit(None).cast("string").alias("email"), F.col("entity_name").alias("name")), "entities")
     local = F.regexp_replace(F.regexp_replace(F.substring_index(F.col("email"), "@", 1), r"\+.*", ""), r"[^a-z.]", "")
-    rows = people.unionByName(firms).where("eng is not null").withColumn("local", F.when(F.col("kind") == "init", F.coalesce(local, F.lit(""))).otherwise(""))
+    rows = people.unionByName(firms).withColumn("local", F.when(F.col("kind") == "init", F.coalesce(local, F.lit(""))).otherwise(""))
     legal = F.when(F.col("kind") == "org", "").otherwise(F.col("b"))
-    rows = cut(rows.withColumn("node", F.xxhash64("src_table", "eng", "kind", "a", legal, "local")))
+    alike = F.xxhash64("src_table", "eng", "kind", "a", legal, "local")
+    rows = cut(rows.withColumn("node", F.when(F.col("eng").isNull(), F.xxhash64("src_table", "id", F.lit("no engagement"))).otherwise(alike)))
+    loose = rows.where("eng is null").select("src_table", "id", "eng", F.col("node").alias("label"))
+    rows = rows.where("eng is not null")
 
     weak = F.col("kind").isin("init", "acro")
     strong = rows.where(~weak).groupBy("node").agg(*[F.first(c).alias(c) for c in ("src_table", "eng", "kind", "a")], F.max("b").alias("b"), F.count("*").alias("n"))
@@ -335,16 +339,19 @@ def linked_rows(addresses: DataFrame, entities: DataFrame) -> DataFrame:
         return pd.Series([damerau(a, b, 1) for a, b in zip(x, y)], dtype="int32")
 
     fits = segment_join(held, initial, ["node", "local", "label", "n", "given"]).withColumn("d", apart("l_text", "r_text")).where("d <= 1")
-    fits = cut(fits.select("l_node", "l_label", "l_given", "r_node", "r_local", "d"))
+    fits = cut(fits.select("l_node", "l_label", "l_local", "l_given", "r_node", "r_local", "d"))
     named = F.when(F.length("l_given") > 2, F.col("r_local").contains(F.col("l_given"))).otherwise(F.lit(False))
     options = fits.where("l_label is not null").groupBy("r_node", "l_label").agg(F.min("d").alias("d"), F.max(named).alias("named"))
     best = options.groupBy("r_node").agg(F.min(F.struct((~F.col("named")).alias("a"), F.col("d"))).alias("b"))
     chosen = options.join(best, "r_node").where(F.struct((~F.col("named")).alias("a"), F.col("d")) == F.col("b")).groupBy("r_node").agg(F.count("*").alias("k"), F.min("l_label").alias("label"))
     given = chosen.where("k = 1").select(F.col("r_node").alias("node"), "label")
-    doubtful = chosen.where("k > 1").select(F.col("r_node").alias("node"))
-    alone = initial.select("node").join(chosen.select(F.col("r_node").alias("node")), "node", "left_anti")
-    peers = fits.where("l_label is null").select(F.col("l_node").alias("x"), F.col("r_node").alias("y")).join(alone.withColumnRenamed("node", "x"), "x", "left_semi").join(alone.withColumnRenamed("node", "y"), "y", "left_semi")
-    lone = components(alone, peers)
+    # what fits no cluster joins its like; what fits several does so only if the mailbox is the same
+    unsure = initial.select("node").join(given.select("node"), "node", "left_anti").join(chosen.select(F.col("r_node").alias("node"), "k"), "node", "left").select("node", F.col("k").isNotNull().alias("doubtful"))
+    unsure = cut(unsure)
+    end = lambda c: unsure.select(F.col("node").alias(c), F.col("doubtful").alias(f"{c}_doubtful"))
+    peers = fits.where("l_label is null").select(F.col("l_node").alias("x"), F.col("r_node").alias("y"), ((F.col("l_local") == F.col("r_local")) & (F.col("l_local") != "")).alias("mailbox"))
+    peers = peers.join(end("x"), "x").join(end("y"), "y").where("not x_doubtful and not y_doubtful or x_doubtful and y_doubtful and mailbox").select("x", "y")
+    lone = components(unsure.select("node"), peers)
 
     # initials of organisations: one cluster whose words begin so, of the same legal form if both state one
     words = F.split("a", " ")
@@ -359,7 +366,7 @@ def linked_rows(addresses: DataFrame, entities: DataFrame) -> DataFrame:
     spare = acro.select("node").join(owned, "node", "left_anti").select("node", F.col("node").alias("label"))
 
     all_labels = clusters.select("node", "label").unionByName(given).unionByName(lone).unionByName(owned).unionByName(spare)
-    return rows.select("src_table", "id", "eng", "node").join(all_labels, "node").join(doubtful, "node", "left_anti").select("src_table", "id", "eng", "label")
+    return rows.select("src_table", "id", "eng", "node").join(all_labels, "node").select("src_table", "id", "eng", "label").unionByName(loose)
 
 
 def same_name_pairs(addresses: DataFrame, entities: DataFrame) -> DataFrame:

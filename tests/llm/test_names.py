@@ -77,6 +77,15 @@ def test_email_decides_between_relatives(spark):
     assert {(r.id_a, r.id_b) for r in names.same_name_pairs(df, spark.createDataFrame([], E_)).collect()} == {(1, 3), (2, 4)}
 
 
+def test_initials_that_fit_several_keep_their_copies_and_a_class(spark):
+    names_ = [("Jennifer Oakström", None), ("José Oakström", None), ("J. Oakström", None), ("Oakstrom, J.", None), ("J. Oakstrom", "box@h"), ("J. Oakstrom", "Box@h"), ("J. Oakstorm", "box@h"), ("J. Oakstrom", "desk@h")]
+    rows = [(i, "e", n, m, "", "") for i, (n, m) in enumerate(names_)] + [(20, None, "Jennifer Oakström", None, "", ""), (21, None, "Jennifer Oakström", None, "", "")]
+    df, none = spark.createDataFrame(rows, A), spark.createDataFrame([], E_)
+    assert {(r.id_a, r.id_b) for r in names.same_name_pairs(df, none).collect()} == {(2, 3), (4, 5), (4, 6), (5, 6)}
+    classes = {r.id: (r.class_id, r.n_links) for r in names.same_name_classes(df, none).collect()}
+    assert classes == {0: (0, 0), 1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (4, 2), 5: (4, 2), 6: (4, 2), 7: (7, 0), 20: (20, 0), 21: (21, 0)}
+
+
 def test_organisations(spark):
     rows = ["Larkmere Refrigeration, LLC", "Refrigeration Larkmere", "Larkmere-Refrigeration LLC", "The Larkmere Refrig. L.L.C.", "LR LLC", "Larkmree Refrigeration", "Larkmere Industries Co.", "LI Co.", "Larkmere Ind.", "Driftmere Foods", None, ""]
     df = spark.createDataFrame([(i, "e", n, "c") for i, n in enumerate(rows)], E_)
