@@ -23,8 +23,10 @@ from quaystone.session import cut
 
 #: Edits that the segment join finds.
 K = 2
-#: A spelling this frequent over all rows, and this near to the other's frequency, is a name of its own and no typing error.
-OWN_COUNT, OWN_RATIO = 4, 0.2
+#: Of two spellings of a part, each is a name of its own and no typing error if more than this share of the full names
+#: that have it stand in their engagement without the other, with more than one partner, and if it has at least this share of the
+#: names of any spelling that it is linked to.
+OWN_SHARE, OWN_RATIO = 0.5, 0.2
 #: From this many letters on two edits are forgiven, below it one.
 LONG = 11
 
@@ -318,12 +320,18 @@ def linked_rows(addresses: DataFrame, entities: DataFrame) -> DataFrame:
             out.append((best[0] <= (2 if min(len(a + b), len(c + d)) >= LONG else 1), best[1]))
         return pd.DataFrame(out, columns=["ok", "differ"])
 
-    verified = pairs.withColumn("v", verify("l_kind", "l_a", "l_b", "r_a", "r_b")).where("v.ok").select("l_node", "r_node", "v.differ")
-    parts = rows.where(~weak & (F.col("kind") == "full")).select(F.explode(F.array("a", "b")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    counted = verified.select("l_node", "r_node", F.explode("differ").alias("w")).select("l_node", "r_node", "w.*")
-    counted = counted.join(parts.select(F.col("w").alias("t"), F.col("n").alias("nt")), "t").join(parts.select(F.col("w").alias("u"), F.col("n").alias("nu")), "u")
-    few, many = F.least("nt", "nu"), F.greatest("nt", "nu")
-    own_names = counted.where((few >= OWN_COUNT) & (few >= OWN_RATIO * many)).select("l_node", "r_node").distinct()
+    verified = cut(pairs.withColumn("v", verify("l_kind", "l_a", "l_b", "r_a", "r_b")).where("v.ok").select("l_node", "r_node", "v.differ"))
+    # distinct full names of an engagement are counted, not rows: copies of a typing error prove nothing
+    bearers = strong.where("kind = 'full'").select(F.explode(F.array(F.struct(F.col("a").alias("w"), F.col("b").alias("p")), F.struct(F.col("b").alias("w"), F.col("a").alias("p")))).alias("s")).select("s.*")
+    parts = bearers.groupBy("w").agg(F.count("*").alias("n"), F.countDistinct("p").alias("partners"))
+    differing = verified.select("l_node", "r_node", F.explode("differ").alias("w")).select("l_node", "r_node", "w.*")
+    sided = differing.select(F.col("l_node").alias("node"), F.col("t").alias("w"), F.col("u").alias("other")).unionByName(differing.select(F.col("r_node").alias("node"), F.col("u").alias("w"), F.col("t").alias("other")))
+    met = sided.distinct().groupBy("w", "other").agg(F.count("*").alias("met"))
+    stood = met.join(parts, "w").join(parts.select(F.col("w").alias("other"), F.col("n").alias("n_other")), "other")
+    top = stood.groupBy("w").agg(F.max("n_other").alias("most"))
+    stood = stood.join(top, "w").where((F.col("n") - F.col("met") > OWN_SHARE * F.col("n")) & (F.col("partners") > 1) & (F.col("n") >= OWN_RATIO * F.col("most"))).select("w", "other")
+    own_pairs = stood.select(F.col("w").alias("t"), F.col("other").alias("u")).join(stood.select(F.col("other").alias("t"), F.col("w").alias("u")), ["t", "u"])
+    own_names = differing.join(own_pairs, ["t", "u"], "left_semi").select("l_node", "r_node").distinct()
     links = verified.select("l_node", "r_node").join(own_names, ["l_node", "r_node"], "left_anti").select(F.col("l_node").alias("x"), F.col("r_node").alias("y"))
     labels = components(strong.select("node"), links)
     clusters = cut(strong.join(labels, "node"))

@@ -86,6 +86,25 @@ def test_initials_that_fit_several_keep_their_copies_and_a_class(spark):
     assert classes == {0: (0, 0), 1: (1, 0), 2: (2, 1), 3: (2, 1), 4: (4, 2), 5: (4, 2), 6: (4, 2), 7: (7, 0), 20: (20, 0), 21: (21, 0)}
 
 
+def test_copies_of_a_typing_error_are_no_name_of_their_own(spark):
+    none = spark.createDataFrame([], E_)
+    pairs = lambda rows: {(r.id_a, r.id_b) for r in names.same_name_pairs(spark.createDataFrame([(i, e, n, None, "", "") for i, (e, n) in enumerate(rows)], A), none).collect()}
+    rows = [("e", "Thomas Grimdittir")] * 4 + [("e", "Thomas Grimdottir")] * 12
+    assert pairs(rows) == set(combinations(range(16), 2))
+    # two given names that mostly stand without each other are not linked, however many tables of this kind lie together
+    apart = ["Daniel Oakmere", "Daniele Oakmere"], ["Daniel Thorquist"], ["Daniel Veloretti"], ["Daniele Peldottir"], ["Daniele Fenakis"]
+    for times in (1, 3):
+        assert pairs([(f"e{k}-{c}", n) for c in range(times) for k, group in enumerate(apart) for n in group]) == set()
+    # two errors for one frequent name are none of their own
+    errors = ["Thoomas Oakmere", "Thmas Oakmere"], *([f"{x} {y}", f"Thomas {y}"] for x, y in (("Thoomas", "Thorquist"), ("Thoomas", "Veloretti"), ("Thmas", "Peldottir"), ("Thmas", "Fenakis"))), *([f"Thomas {c * 6}"] for c in "bcdfghjklmnp")
+    assert (0, 1) in pairs([(f"e{k}", n) for k, group in enumerate(errors) for n in group])
+    # two spellings that always stand together are one name, at every size
+    together = ["Daniel Oakmere", "Daniele Oakmere"], ["Daniel Thorquist", "Daniele Thorquist"]
+    for times in (1, 3):
+        got = pairs([(f"e{k}-{c}", n) for c in range(times) for k, group in enumerate(together) for n in group])
+        assert got == {(i, i + 1) for i in range(0, 4 * times, 2)}
+
+
 def test_organisations(spark):
     rows = ["Larkmere Refrigeration, LLC", "Refrigeration Larkmere", "Larkmere-Refrigeration LLC", "The Larkmere Refrig. L.L.C.", "LR LLC", "Larkmree Refrigeration", "Larkmere Industries Co.", "LI Co.", "Larkmere Ind.", "Driftmere Foods", None, ""]
     df = spark.createDataFrame([(i, "e", n, "c") for i, n in enumerate(rows)], E_)
