@@ -24,14 +24,10 @@ from quaystone.session import cut
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
 #: Texts that the trees are trained on at most, chosen by hash over all three tables.
 TRAIN_TEXTS = 6000
-#: Name parts that make up at least this share of the address book are known to every task: at most 1 / share of them.
-PART_SHARE = 2e-4
 #: Family names end and begin alike in at least this share; typing errors make rarer ends.
 END_SHARE = 2e-3
-#: A given name is borne by at least this share of people.
+#: A part typed first by at least this share of people is a given name; by fewer, it may be a family name typed first, and the part beside it decides.
 GIVEN_SHARE = 1e-3
-#: In a book of so many names a part must be seen twice, lest a typing error count.
-SEEN_TWICE = 3000
 
 _BREAK = re.compile(r"\n(?:[ \t]*(?:>|\||::|[A-ZÀ-ÖØ-ÞŁ]{1,4}>)[ \t]?)*")
 _OPENING = re.compile(r"(?:[ \t]*(?:>|\||::|[A-ZÀ-ÖØ-ÞŁ]{1,4}>)[ \t]?)+")
@@ -129,24 +125,25 @@ _NO_GIVEN = {"mrs", "miss", "prof", "herr", "frau", "mme", "sir", "the", "and",
 
 
 class Parts:
-    """What the address book says of name parts: how often a word was a given or a family name, and how family names begin and end."""
+    """What the address book says of name parts: how often a word was a given or a family name, or rarely typed first and so either, and how family names begin and end."""
 
-    def __init__(self, given: dict[str, float], family: dict[str, float], ends: dict[str, float], heads: dict[str, float]):
-        self.given, self.family, self.ends, self.heads = given, family, ends, heads
+    def __init__(self, given: dict[str, float], family: dict[str, float], ends: dict[str, float], heads: dict[str, float], either: dict[str, float] | None = None):
+        self.given, self.family, self.ends, self.heads, self.either = given, family, ends, heads, either or {}
         for nick, formal in _FORMAL.items():
             if formal in given:
                 self.given.setdefault(nick, given[formal] / 2)
-        self.seen: dict[str, tuple[float, float, float, float, bool]] = {}
+        self.seen: dict[str, tuple[float, float, float, float, bool, float]] = {}
 
-    def of(self, word: str) -> tuple[float, float, float, float, bool]:
-        """(given, family, end, head) of a word as typed, shares of the address book in logarithmic steps; and whether a name may start or end with it."""
+    def of(self, word: str) -> tuple[float, float, float, float, bool, float]:
+        """(given, family, end, head) of a word as typed, shares of the address book in logarithmic steps; whether a name may start or end with it; share of a part that may be either."""
         got = self.seen.get(word)
         if got is None:
             w = re.sub(r"['’]", "", fold(word))
             halves = w.split("-")
             step = lambda x: 0.0 if x <= 0 else float(min(6, max(1, 6 + np.log10(x) * 1.5)))
             got = (step(self.given.get(w, 0)), max(step(self.family.get(x, 0)) for x in (w.replace("-", ""), *halves)), max(step(self.ends.get(x[-4:], 0)) if len(x) > 5 else 0.0 for x in halves), step(self.heads.get(w[:3], 0)))
-            got = (*got, bool(got[0] or got[1] or got[2]) or len(word) == 1 and word.isupper())
+            either = 0.0 if got[0] or got[1] else step(self.either.get(w.replace("-", ""), self.either.get(w, 0)))
+            got = (*got, bool(got[0] or got[1] or got[2] or either) or len(word) == 1 and word.isupper(), either)
             if len(self.seen) > 300_000:
                 self.seen.clear()
             self.seen[word] = got
@@ -263,7 +260,7 @@ class Reader:
                 after = seen.get(family) or of(family)
                 if not (after[2] and after[3]) or after[0] or _case(family) != _case(w) or fold(w) in _NO_GIVEN:
                     continue
-            g, f, end, head, _ = known
+            g, f, end, head, _, either = known
             single = len(w) == 1
             if s and t[s - 1] in "@/&" and t[s - 4 : s] != "/s/ ":
                 continue
@@ -293,7 +290,11 @@ class Reader:
             if j >= n:
                 continue
             a, b, x = words[j]
-            g2, f2, end2, head2, _ = of(x)
+            g2, f2, end2, head2, _, either2 = of(x)
+            if either and (g2 or f2 or end2):
+                g, f = (0.0, either) if g2 else (either, 0.0)
+            if either2 and (g or f or end or single):
+                g2, f2 = (0.0, either2) if g or single else (either2, 0.0)
             initial2 = len(x) == 1 and x.isupper() and comma and (t[b : b + 1] != " " and "\n" not in gap)
             if not (g2 or f2 or end2 or initial2 or comma and self.tabs and end and head and not g and len(x) > 2 and x[0].isupper()):
                 continue
@@ -416,7 +417,8 @@ def find_items(texts: list[str | None], parts: Parts, models: dict[str, Trees])
 def name_parts(addresses: DataFrame, messages: DataFrame) -> Parts:
     """Shares of given names, family names, their ends and heads in the address book and the heads of mails.
 
-    Counted over all rows; only what reaches PART_SHARE of all parts comes to the driver, at most 1 / PART_SHARE rows of each sort.
+    Counted over all rows. Every part comes to the driver and to each task, however rare, so that a name that is known in a small
+    book is known in a large one; of ends and heads, at most 1 / END_SHARE.
     """
 
     @F.pandas_udf("given string, family string")
@@ -442,15 +444,14 @@ def name_parts(addresses: DataFrame, messages: DataFrame) -> Parts:
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("w")) for k, v in (("given", F.col("given")), ("family", F.col("family")), ("end", F.when(F.length("family") > 5, F.substring(F.col("family"), -4, 4))), ("head", F.substring("family", 1, 3)))]))
     counted = said.select(kinds.alias("s")).select("s.*").where("w is not null").groupBy("k", "w").agg(F.count("*").alias("n"))
     total = said.count()
-    rows = counted.where(F.col("n") >= max(1.0, PART_SHARE * total)).collect()
+    rows = counted.where(F.col("k").isin("given", "family") | (F.col("n") >= END_SHARE * total)).collect()
     share: dict[str, dict[str, float]] = {k: {} for k in ("given", "family", "end", "head")}
     for r in rows:
         share[r.k][r.w] = r.n / max(1, total)
-    least = 2 if total >= SEEN_TWICE else 1
-    given = {w: v for w, v in share["given"].items() if v > 2 * share["family"].get(w, 0) and v * total > least - 0.5 and v >= GIVEN_SHARE}
+    given = {w: v for w, v in share["given"].items() if v > 2 * share["family"].get(w, 0) and v >= GIVEN_SHARE}
     family = {w: v for w, v in share["family"].items() if w not in given}
-    ends, heads = ({w: v for w, v in share[k].items() if v >= END_SHARE} for k in ("end", "head"))
-    return Parts(given, family, ends, heads)
+    either = {w: v for w, v in share["given"].items() if w not in given and w not in family}
+    return Parts(given, family, share["end"], share["head"], either)
 
 
 def all_texts(messages: DataFrame, sheets: DataFrame, spans: DataFrame) -> DataFrame:
@@ -480,7 +481,7 @@ def personal_items(messages: DataFrame, sheets: DataFrame, spans: DataFrame, add
     Null and blank texts have none; a text of any length is read whole.
     """
     parts, models = trained(messages, sheets, spans, addresses)
-    known = (parts.given, parts.family, parts.ends, parts.heads)
+    known = (parts.given, parts.family, parts.ends, parts.heads, parts.either)
 
     def search(frames):
         own = Parts(*known)
@@ -494,7 +495,7 @@ def personal_items(messages: DataFrame, sheets: DataFrame, spans: DataFrame, add
 def redacted(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame) -> DataFrame:
     """(src_table, row_id, text, n_items) of each text, with [EMAIL], [PHONE], [ID_NUMBER], [STREET_ADDRESS] or [PERSON_NAME] for each item."""
     parts, models = trained(messages, sheets, spans, addresses)
-    known = (parts.given, parts.family, parts.ends, parts.heads)
+    known = (parts.given, parts.family, parts.ends, parts.heads, parts.either)
 
     def replace(frames):
         own = Parts(*known)

@@ -95,3 +95,18 @@ def test_trees_learn_and_calibrate():
     assert ((p >= t.cut) == (y[2000:] == 1)).mean() > 0.95
     high = p > 0.8
     assert abs(p[high].mean() - y[2000:][high].mean()) < 0.1
+
+
+def test_rare_parts_are_known_in_a_large_book(spark):
+    letters = "bcdfghjklm"
+    word = lambda k: "".join(letters[int(c)] + "ae"[int(c) % 2] for c in f"{k:04d}")
+    people = [f"{('Gregory', 'Yasmin', 'Thomas')[k % 3]} {word(k).title()}" for k in range(5200)]
+    rare = ["Gregory Quolzyx", "Vurbnimsk Thomas"]  # one of them typed family name first
+    book = spark.createDataFrame([(n,) for n in people + rare], "display_name string")
+    parts = pii.name_parts(book, spark.createDataFrame([], M))
+    assert set(parts.given) >= {"gregory", "yasmin", "thomas"} and "vurbnimsk" not in parts.given
+    assert parts.of("Quolzyx")[1] > 0 and parts.of("Vurbnimsk")[5] > 0 and parts.of(people[17].split()[1])[1] > 0
+    assert parts.of("Absentia")[:2] == (0.0, 0.0)
+    text = "Signed by Gregory Quolzyx today. Paid by Thomas Vurbnimsk in cash; ask for Vurbnimsk Quolzyx then."
+    found = {text[s:e] for kind, s, e, x in pii.Reader(text, parts).candidates() if kind == "person_name" and pii.rule_label(kind, x) == 1}
+    assert found == {"Gregory Quolzyx", "Thomas Vurbnimsk", "Vurbnimsk Quolzyx"}
