@@ -47,8 +47,10 @@ def to_utc(df: DataFrame, text: str, zone: str, whole: bool, out: str = "utc_mic
     intervals are broadcast, whose number the tz database bounds: zones in use times years.
     """
     spark = df.sparkSession
-    zones = known_zones(df.select(F.col(zone).alias("zone")))
-    segments = segments_by_year(sorted({*zones, *_BRACKETED}), FIRST_YEAR, LAST_YEAR)
+    # zones that texts name in brackets count besides those of the records
+    bracketed = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[([A-Za-z0-9_+/-]+)\]"), 1)).alias("zone"))
+    zones = known_zones(df.select(F.col(zone).alias("zone")).unionByName(bracketed))
+    segments = segments_by_year(sorted({"UTC", *zones}), FIRST_YEAR, LAST_YEAR)
     table = spark.createDataFrame(segments, "_zone string, _year int, _lo bigint, _hi bigint, _matches int, _shift int")
     cell: Column = F.col(text)
     cell_zone = F.col(zone)
@@ -62,10 +64,6 @@ def to_utc(df: DataFrame, text: str, zone: str, whole: bool, out: str = "utc_mic
     return found.select("_own.*", (F.col("_local") - shift.cast("long") * 1_000_000).alias(out))
 
 
-#: Zones that a text may name in brackets without an offset, besides those of the records.
-_BRACKETED = ("America/New_York", "America/Chicago", "America/Denver", "America/Los_Angeles", "Europe/London", "Europe/Berlin", "Europe/Paris", "Europe/Madrid", "Asia/Kolkata", "Asia/Singapore", "Asia/Tokyo", "Australia/Sydney", "UTC")
-
-
 def instants(messages: DataFrame, spans: DataFrame) -> DataFrame:
     """(src_table, row_id, utc_micros) of each readable time of the two tables."""
     m = to_utc(messages.select("delivery_id", "date_raw", "mailbox_tz"), "date_raw", "mailbox_tz", True)

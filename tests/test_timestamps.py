@@ -75,3 +75,11 @@ def test_tables_with_nulls_and_none(spark):
     assert instants(spark.createDataFrame([], m), spark.createDataFrame([], s)).count() == 0
     got = instants(spark.createDataFrame([(1, None, None), (2, "1736271605", None)], m), spark.createDataFrame([(1, "at 2025-01-06 02:53:02", "UTC"), (2, None, None)], s))
     assert {(r.src_table, r.row_id) for r in got.collect()} == {("messages", 2), ("spans", 1)}
+
+
+def test_a_zone_in_brackets_counts_whatever_the_records_name(spark):
+    rows = [("2025-03-01T10:00[Europe/Zurich]", None), ("2025-07-01T10:00:00[America/Sao_Paulo]", "Europe/Berlin"), ("2025-03-01T10:00[Nowhere/Land]", "UTC")]
+    got = [r.utc_micros for r in to_utc(spark.createDataFrame(rows, "t string, z string"), "t", "z", True).collect()]
+    assert got == [micros(2025, 3, 1, 9), micros(2025, 7, 1, 13), None]
+    within = to_utc(spark.createDataFrame([("signed 2025-03-01T10:00[Europe/Zurich] by hand", None)], "t string, z string"), "t", "z", False)
+    assert within.first().utc_micros == micros(2025, 3, 1, 9)
