@@ -8,17 +8,36 @@ from datetime import date
 import numpy as np
 import pandas as pd
 
-# Names of months by language, and the offsets in minutes that zone abbreviations stand for.
+# Names of months by language, and the offsets in minutes of zone abbreviations that several zones share.
 _ENGLISH = "january february march april may june july august september october november december"
 _GERMAN = "januar februar märz april mai juni juli august september oktober november dezember"
 _FRENCH = "janvier février mars avril mai juin juillet août septembre octobre novembre décembre"
 _SPANISH = "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre"
-_ABBREVIATIONS = {
+_FIXED_ABBREVIATIONS = {
     "UTC": 0, "GMT": 0, "UT": 0, "WET": 0, "WEST": 60, "BST": 60, "CET": 60, "CEST": 120, "MEZ": 60, "MESZ": 120, "EET": 120, "EEST": 180,
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420,
     "IST": 330, "SGT": 480, "HKT": 480, "JST": 540, "AEST": 600, "AEDT": 660,
 }
 
+
+def _abbreviations() -> dict[str, int]:
+    """Offsets in minutes by abbreviation: those of the tz database that mean one offset in all its zones, and the fixed ones."""
+    from datetime import datetime
+    from zoneinfo import ZoneInfo, available_timezones
+
+    seen: dict[str, set[int]] = {}
+    for zone in available_timezones():
+        tz = ZoneInfo(zone)
+        for month in (1, 7):
+            day = datetime(2024, month, 1, tzinfo=tz)
+            name = day.tzname() or ""
+            if "/" in zone and name.isalpha() and name.isupper() and 3 <= len(name) <= 5:
+                seen.setdefault(name, set()).add(int(day.utcoffset().total_seconds()) // 60)
+    return {name: min(x) for name, x in seen.items() if len(x) == 1} | _FIXED_ABBREVIATIONS
+
+
+_ABBREVIATIONS = _abbreviations()
+
 MONTHS: dict[str, int] = {}
 for _names in (_ENGLISH, _GERMAN, _FRENCH, _SPANISH):
     for _n, _name in enumerate(_names.split(), 1):
@@ -28,13 +47,18 @@ MONTHS |= {"sept": 9, "maerz": 3, "fevrier": 2, "aout": 8, "decembre": 12, "mär
 
 _M = "|".join(sorted(MONTHS, key=len, reverse=True))
 _CLOCK = r"(?P<{0}h>\d{{1,2}}):(?P<{0}m>\d\d)(?::(?P<{0}s>\d\d)(?:[.,](?P<{0}f>\d+))?)?"
-_ABBR = "|".join(_ABBREVIATIONS)
-_TAIL = rf"(?:\s*(?P<{{0}}o>Z\b|[+-]\d\d:?\d\d\b|[+-]\d\d\b)|\s+(?P<{{0}}a>{_ABBR})\b)?"
+_ABBR = "|".join(sorted(_ABBREVIATIONS, key=len, reverse=True))
+_ZONE = r"(?:\s*\[(?P<{0}z>[A-Za-z0-9_+\-/]+)\]|\s+\(?(?P<{0}y>(?-i:[A-Z])[A-Za-z]+/[A-Za-z0-9_+\-/]+)\)?)?"
+_TAIL = rf"(?:\s*(?P<{{0}}o>Z\b|[+-]\d\d:?\d\d\b|[+-]\d\d\b)|\s+\(?(?P<{{0}}a>(?-i:{_ABBR}))\b\)?)?" + _ZONE
 _HALF = r"(?:\s*(?P<{0}p>[ap])\.?m\b\.?)"
+# an hour alone is a time of day only with its half of the day or with the word for hours
+_BARE_HALF = r"(?P<{0}H>\d{{1,2}})\s?(?P<{0}P>[ap])\.?m\b\.?"
+_BARE_UHR = r"(?P<{0}U>\d{{1,2}})(?:\.(?P<{0}u>\d\d))?\s?Uhr\b"
 
 
-def _form(tag: str, day: str, between: str, half: str = "") -> str:
-    return day + between + _CLOCK.format(tag) + half.format(tag) + _TAIL.format(tag)
+def _form(tag: str, day: str, between: str, half: str = "", bare: str = "") -> str:
+    clock = _CLOCK.format(tag) + half.format(tag)
+    return day + between + (f"(?:{clock}|{bare.format(tag)})" if bare else clock) + _TAIL.format(tag)
 
 
 _FORMS = "|".join(
@@ -42,18 +66,19 @@ _FORMS = "|".join(
     for tag, form in zip(
         "icrfesd",
         (
-            _form("i", r"(?<!\d)(?P<iY>\d{4})-(?P<iM>\d\d)-(?P<iD>\d\d)", r"(?:[T]|\s+)") + r"(?:\[(?P<iz>[A-Za-z0-9_+\-/]+)\])?",
+            _form("i", r"(?<!\d)(?P<iY>\d{4})-(?P<iM>\d\d)-(?P<iD>\d\d)", r"(?:[T]|\s+)"),
             r"(?<!\d)(?P<cY>\d{4})(?P<cM>\d\d)(?P<cD>\d\d)T(?P<ch>\d\d)(?P<cm>\d\d)(?P<cs>\d\d)?(?P<co>Z\b|[+-]\d\d:?\d\d\b)?(?![\d])",
-            _form("r", rf"(?<![\w.])(?P<rD>\d{{1,2}})(?:\.\s*|-|\s+)(?:de\s+)?(?P<rN>{_M})\.?(?:-|\s+)(?:de\s+)?(?P<rY>\d{{4}}|\d\d)", r",?\s+(?:(?:um|at|a\s+las)\s+)?", _HALF + "?"),
-            rf"(?<![\w.])(?P<fD>\d{{1,2}})(?:er)?\s+(?P<fN>{_M})\.?\s+(?P<fY>\d{{4}})\s+(?:à\s+)?(?P<fh>\d{{1,2}})\s?h\s?(?P<fm>\d\d)(?!\d)",
-            _form("e", rf"(?<!\w)(?P<eN>{_M})\.?\s+(?P<eD>\d{{1,2}}),?\s+(?P<eY>\d{{4}})", r",?\s+(?:at\s+)?", _HALF + "?"),
-            _form("s", r"(?<![\d/])(?P<sM>\d{1,2})/(?P<sD>\d{1,2})/(?P<sY>\d{4}|\d\d)", r",?\s+(?:at\s+)?", _HALF + "?"),
-            _form("d", r"(?<![\d.])(?P<dD>\d{1,2})\.(?P<dM>\d{1,2})\.(?P<dY>\d{4}|\d\d)", r",?\s+(?:um\s+)?"),
+            _form("r", rf"(?<![\w.])(?P<rD>\d{{1,2}})(?:\.\s*|-|\s+)(?:de\s+)?(?P<rN>{_M})\.?(?:-|\s+)(?:de\s+)?(?P<rY>\d{{4}}|\d\d)", r",?\s+(?:(?:um|at|a\s+las)\s+)?", _HALF + "?", f"{_BARE_HALF}|{_BARE_UHR}"),
+            rf"(?<![\w.])(?P<fD>\d{{1,2}})(?:er)?\s+(?P<fN>{_M})\.?\s+(?P<fY>\d{{4}})\s+(?:à\s+)?(?P<fh>\d{{1,2}})\s?h(?:\s?(?P<fm>\d\d)(?!\d)|\b)",
+            _form("e", rf"(?<!\w)(?P<eN>{_M})\.?\s+(?P<eD>\d{{1,2}}),?\s+(?P<eY>\d{{4}})", r",?\s+(?:at\s+)?", _HALF + "?", _BARE_HALF),
+            _form("s", r"(?<![\d/])(?P<sM>\d{1,2})/(?P<sD>\d{1,2})/(?P<sY>\d{4}|\d\d)", r",?\s+(?:at\s+)?", _HALF + "?", _BARE_HALF),
+            _form("d", r"(?<![\d.])(?P<dD>\d{1,2})\.(?P<dM>\d{1,2})\.(?P<dY>\d{4}|\d\d)", r",?\s+(?:um\s+)?", "", _BARE_UHR),
         ),
     )
 )
 _PATTERN = re.compile(_FORMS, re.IGNORECASE)
 _PARTS = {t: [k[1:] for k in _PATTERN.groupindex if k[0] == t and len(k) > 1] for t in "icrfesd"}
+_UNKNOWN_ZONE = re.compile(r"\s+\(?(?!UHR|HRS)[A-Z]{2,5}\)?\s*$")
 _EPOCH_UNIT = {10: 1_000_000, 13: 1_000, 16: 1}
 _DAY0 = date(1970, 1, 1).toordinal()
 
@@ -92,8 +117,8 @@ def read_instant(text: str, whole: bool) -> tuple[int, int | None, str | None] |
         if len(g["Y"]) == 2:
             year += 2000 if year < 70 else 1900
         month = MONTHS[g["N"].lower()] if t in "rfe" else int(g["M"])
-        hour, minute, second = int(g["h"]), int(g["m"]), int(g.get("s") or 0)
-        half = g.get("p")
+        hour, minute, second = int(g["h"] or g.get("H") or g.get("U")), int(g["m"] or g.get("u") or 0), int(g.get("s") or 0)
+        half = g.get("p") or g.get("P")
         if half:
             if not 1 <= hour <= 12:
                 continue
@@ -110,9 +135,11 @@ def read_instant(text: str, whole: bool) -> tuple[int, int | None, str | None] |
             if offset is None:
                 continue
         elif g.get("a"):
-            offset = _ABBREVIATIONS[g["a"].upper()] * 60
+            offset = _ABBREVIATIONS[g["a"]] * 60
+        elif whole and _UNKNOWN_ZONE.match(text, m.end()):
+            continue  # a zone that nobody knows is stated, so the time isn't local
         micros = int((g.get("f") or "0")[:6].ljust(6, "0"))
-        return ((days * 24 + hour) * 60 + minute) * 60_000_000 + second * 1_000_000 + micros, offset, g.get("z")
+        return ((days * 24 + hour) * 60 + minute) * 60_000_000 + second * 1_000_000 + micros, offset, g.get("z") or g.get("y")
     return None
 
 

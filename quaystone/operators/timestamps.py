@@ -47,14 +47,14 @@ def to_utc(df: DataFrame, text: str, zone: str, whole: bool, out: str = "utc_mic
     intervals are broadcast, whose number the tz database bounds: zones in use times years.
     """
     spark = df.sparkSession
-    # zones that texts name in brackets count besides those of the records
-    bracketed = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"\[([A-Za-z0-9_+/-]+)\]"), 1)).alias("zone"))
+    # zones that texts name, in brackets or as Area/City, count besides those of the records
+    bracketed = df.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=\[)[A-Za-z0-9_+/-]+(?=\])|[A-Z][A-Za-z]+/[A-Za-z0-9_+/-]+"), 0)).alias("zone"))
     zones = known_zones(df.select(F.col(zone).alias("zone")).unionByName(bracketed))
     segments = segments_by_year(sorted({"UTC", *zones}), FIRST_YEAR, LAST_YEAR)
     table = spark.createDataFrame(segments, "_zone string, _year int, _lo bigint, _hi bigint, _matches int, _shift int")
     cell: Column = F.col(text)
     cell_zone = F.col(zone)
-    maybe = cell if whole else F.when(cell.rlike(r"\d[:hT]\d\d|\d h \d\d"), cell)
+    maybe = cell if whole else F.when(cell.rlike(r"(?i)\d[:T]\d\d|\d\s?(?:h|[ap]\.?m)\b|\dh\d\d|\dT?\s?h\s?\d\d|\d\s?Uhr"), cell)
     read = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != out]).alias("_own"), cell_zone.alias("_record_zone"), (_whole if whole else _within)(maybe).alias("_p"))
     year = F.year(F.timestamp_micros(F.col("_p.local")))
     read = read.select("_own", F.col("_p.offset").alias("_offset"), F.col("_p.local").alias("_local"), F.when(F.col("_p.offset").isNull(), F.coalesce(F.col("_p.zone"), F.col("_record_zone"))).alias("_at_zone"), F.least(F.greatest(year, F.lit(FIRST_YEAR)), F.lit(LAST_YEAR)).alias("_at_year"))

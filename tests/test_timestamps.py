@@ -83,3 +83,29 @@ def test_a_zone_in_brackets_counts_whatever_the_records_name(spark):
     assert got == [micros(2025, 3, 1, 9), micros(2025, 7, 1, 13), None]
     within = to_utc(spark.createDataFrame([("signed 2025-03-01T10:00[Europe/Zurich] by hand", None)], "t string, z string"), "t", "z", False)
     assert within.first().utc_micros == micros(2025, 3, 1, 9)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("5 March 2025, 9am", ("2025-03-05 09:00", None, None)),
+        ("March 5, 2025 at 9 pm EST", ("2025-03-05 21:00", -18000, None)),
+        ("05.03.2025 14.30 Uhr", ("2025-03-05 14:30", None, None)),
+        ("3 mai 2025 à 10h", ("2025-05-03 10:00", None, None)),
+        ("2025-03-01 10:00 AKST", ("2025-03-01 10:00", -32400, None)),
+        ("2025-03-01T10:00 [Europe/Zurich]", ("2025-03-01 10:00", None, "Europe/Zurich")),
+        ("2025-03-01 10:00 Europe/Zurich", ("2025-03-01 10:00", None, "Europe/Zurich")),
+        ("2025-03-01 10:00 QQST", None),
+        ("3 May 2025", None),
+    ],
+)
+def test_rarer_forms(text, want):
+    from datetime import datetime, timezone
+
+    from quaystone.functions.instants import read_instant
+
+    got = read_instant(text, True)
+    if want is None:
+        assert got is None
+    else:
+        assert (datetime.fromtimestamp(got[0] / 1e6, timezone.utc).strftime("%Y-%m-%d %H:%M"), *got[1:]) == want
