@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.functions.mailids import message_key, path_key
@@ -58,27 +58,59 @@ def deletion_vectors(positions: DataFrame) -> DataFrame:
     return positions.groupBy("_file", F.bitmap_bucket_number(n).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("_bits"))
 
 
-def _marked_by_broadcast(placed: DataFrame, vectors: DataFrame) -> DataFrame:
+def _marked_by_join(placed: DataFrame, vectors: DataFrame) -> DataFrame:
     n = F.col("_row") + 1
     bit = F.bitmap_bit_position(n)
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(F.shiftright(byte, 0).bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_row + 1) % 8 as int))")) != 0, F.lit(False))
-    return placed.withColumn("_bucket", F.bitmap_bucket_number(n)).join(F.broadcast(vectors), ["_file", "_bucket"], "left").withColumn("_surplus", hit).drop("_bucket", "_bits")
+    return placed.withColumn("_bucket", F.bitmap_bucket_number(n)).join(vectors, ["_file", "_bucket"], "left").withColumn("_surplus", hit).drop("_bucket", "_bits")
+
+
+def _qualified(spark: SparkSession, where: str) -> str:
+    """A path with the scheme of the file system that Spark writes it to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return path.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toString()
+
+
+def _store(uri: str):
+    """(file system, path) by which Python reads what Spark wrote under a qualified path."""
+    import pyarrow.fs as fs
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else uri)
+
+
+def _readable(uri: str, files: int) -> bool:
+    """Whether Python sees as many files' vectors under a folder as Spark wrote."""
+    import pyarrow.fs as fs
+
+    try:
+        store, root = _store(uri)
+        return sum("_file=" in x.path for x in store.get_file_info(fs.FileSelector(root))) == files
+    except (OSError, ValueError, NotImplementedError):
+        return False
 
 
 def _marked_from_files(placed: DataFrame, vectors: DataFrame) -> DataFrame:
-    where = f"{shared_dir(placed.sparkSession)}/vectors-{uuid.uuid4().hex}"
+    spark = placed.sparkSession
+    where = f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}"
     vectors.write.partitionBy("_file").parquet(where)
+    uri = _qualified(spark, where)
+    if not _readable(uri, vectors.select("_file").distinct().count()):
+        return _marked_by_join(placed, vectors)
 
     @F.pandas_udf("boolean")
     def surplus(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        from urllib.parse import urlparse
-
         import pyarrow.fs as fs
         import pyarrow.parquet as pq
 
         held: dict[int, dict[int, np.ndarray]] = {}
-        store, root = fs.FileSystem.from_uri(where) if urlparse(where).scheme else (fs.LocalFileSystem(), where)
+        store, root = _store(uri)
+        if store.get_file_info(root).type != fs.FileType.Directory:
+            raise FileNotFoundError(f"the deletion vectors under {uri} are gone")
         for file, row in parts:
             out = np.zeros(len(row), bool)
             for f in file.unique():
@@ -103,10 +135,14 @@ def _marked_from_files(placed: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def mark(placed: DataFrame, positions: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """placed with _surplus, without a shuffle of its rows."""
+    """placed with _surplus, without a shuffle of its rows.
+
+    Small vectors are broadcast, larger ones read from the shared folder by the tasks that scan their files. Only
+    where Python can't read that folder as Spark wrote it are the rows joined with them by a shuffle.
+    """
     vectors = cut(deletion_vectors(positions))
     if vectors.count() * _VECTOR_BYTES <= broadcast_bytes:
-        return _marked_by_broadcast(placed, vectors)
+        return _marked_by_join(placed, F.broadcast(vectors))
     return _marked_from_files(placed, vectors)
 
 

@@ -66,3 +66,15 @@ def test_forms_of_ids_and_paths(spark):
     r = df.select(message_key(F.col("i")).alias("i"), path_key(F.col("p")).alias("p"), message_keys(F.col("r")).alias("r")).first()
     assert (r.i, r.p, r.r) == ("Ab@c.d", "a/b/c", ["x@y", "z@w", "p@q", "r@s"])
     assert spark.createDataFrame([("<>",), (" ",), (None,)], "i string").select(message_key(F.col("i")).alias("k")).where("k is not null").count() == 0
+
+
+def test_vectors_that_python_cannot_read_are_joined(spark, stored, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(deliveries, "_readable", lambda uri, files: False)
+    rows = [(i, f"<{i % 5}@h>", i) for i in range(40)]
+    df = stored(rows, "delivery_id long, message_id string, received_at long", files=3)
+    placed = deliveries.with_position(df, df.columns)
+    lost = deliveries.surplus_positions(placed, F.col("_payload.message_id"), [F.col("_payload.received_at")])
+    kept = deliveries.mark(placed, lost, broadcast_bytes=0).where("not _surplus")
+    assert sorted(r.d for r in kept.select(F.col("_payload.delivery_id").alias("d")).collect()) == [0, 1, 2, 3, 4]
