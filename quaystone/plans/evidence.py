@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaystone.operators import criteria, facts, gate, matching, threads, versions
-from quaystone.operators.ranking import spread_row_number
+from quaystone.operators.ranking import spread_last, spread_row_number
 from quaystone.session import table
 from quaystone.sources import requests
 
@@ -191,8 +191,8 @@ def window_last_write(spark: SparkSession, d: str) -> DataFrame:
 
 
 def window_fill_forward(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, d, "events").select("event_id", F.coalesce(F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w), F.lit(-1)).alias("section"))
+    e = table(spark, d, "events").select("user_id", "ts", "event_id", F.when(F.col("event_type") == "signup", F.col("event_id")).alias("opens"))
+    return spread_last(e, ["user_id"], ["ts", "event_id"], "opens", "section").select("event_id", F.coalesce("section", F.lit(-1)).alias("section"))
 
 
 def window_row_numbers(spark: SparkSession, d: str) -> DataFrame:
