@@ -2,9 +2,10 @@
 
 The test items are the stated query set: their shared-token seeds are held in every task
 and joined with the seeds of each document where it lies, so documents are never shuffled.
-Seeds on one diagonal grow into matches by the rolling hash, the longest that do not
-overlap become tiles, and the covered share of the item decides whether it is looked at
-closely: an alignment then counts altered, dropped and added words around one insertion.
+Seeds on one diagonal grow into matches by the rolling hash, and the longest that do not
+overlap become tiles. covered_items reports the covered share of an item, which also catches reordered
+passages. leaked_items asks for more, as the task does: a tile of fifteen words, or an alignment that counts altered,
+dropped and added words around one insertion.
 """
 
 from __future__ import annotations
@@ -12,24 +13,26 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Words of a seed, fewer for items so short that edits could break every longer run.
 SEED = 5
 #: So many consecutive words of an item are a leak by themselves.
 RUN = 15
 #: One word in so many of an item held in full may differ.
 EDIT_EVERY = 8
-#: An item with L/8 edits and one insertion keeps at least this share of its words in matches of SEED words or more.
-LEAST_COVER = 0.3
+#: Share of an item that tiles must cover for covered_items.
+LEAST_COVER = 0.5
 #: Words of test items held by a task at once; a larger set is taken in blocks, each a pass over the documents.
 BLOCK_WORDS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
-_MARKUP = re.compile(r"</?[A-Za-z!][^<>]{0,200}>")
+_MARKUP = re.compile(r"</?[A-Za-z][\w:-]*(?:\s[^<>]*)?/?>|<![^<>]*>")
 _ESCAPE = re.compile(r"\\(?:u([0-9A-Fa-f]{4})|x([0-9A-Fa-f]{2})|[nrtbf])")
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*(?=[^\W\d_])")
@@ -112,35 +115,55 @@ def edits_around_gap(item: np.ndarray, doc: np.ndarray) -> int:
     return int(min(one.min(), two.min()))
 
 
+def least_seeds(size: int, seed: int) -> int:
+    """Seeds that an item held in full keeps at least: an edit breaks as many as a seed has words, an insertion one fewer."""
+    return size - 2 * (seed - 1) - seed * (size // EDIT_EVERY)
+
+
+def seed_of(size: int) -> int:
+    """The longest seed, up to SEED words, of which an item held in full keeps one."""
+    return next((n for n in range(SEED, 1, -1) if least_seeds(size, n) > 0), 1)
+
+
+class _Seeds:
+    """The seeds of one length of some items, in order of their hash."""
+
+    def __init__(self, n: int, items: list[int], words: list[np.ndarray]):
+        self.n = n
+        h = [_hashes(words[k], n) for k in items]
+        item = [np.full(len(x), k) for x, k in zip(h, items)]
+        flat = np.concatenate(h)
+        order = np.argsort(flat, kind="stable")
+        self.h, self.item, self.pos = flat[order], np.concatenate(item)[order], np.concatenate([np.arange(len(x)) for x in h])[order]
+
+    def joined(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, item, place in the item) of every seed that the words share with an item; unknown words are -1."""
+        if len(flat) < self.n:
+            return (np.zeros(0, np.int64),) * 3
+        at = np.flatnonzero(np.convolve(flat >= 0, np.ones(self.n, np.int64), "valid") == self.n)
+        h = _hashes(flat, self.n)[at]
+        lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
+        n = hi - lo
+        ref = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+        return np.repeat(at, n), self.item[ref], self.pos[ref]
+
+
 class Items:
     """The seeds of a block of test items."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.keys, self.words, self.vocab = [], [], {}
-        h, item, pos = [], [], []
+        by_seed: dict[int, list[int]] = {}
         for key, text in items:
             words = plain_words(text or "")
-            if not words:
-                continue
-            ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64)
-            if len(ids) >= SEED:
-                h.append(_hashes(ids, SEED))
-                item.append(np.full(len(h[-1]), len(self.keys)))
-                pos.append(np.arange(len(h[-1])))
-            self.keys.append(key)
-            self.words.append(ids)
-        h_all = np.concatenate(h) if h else np.zeros(0, np.uint64)
-        order = np.argsort(h_all, kind="stable")
-        self.h = h_all[order]
-        self.item = (np.concatenate(item) if h else np.zeros(0, np.int64))[order]
-        self.pos = (np.concatenate(pos) if h else np.zeros(0, np.int64))[order]
-        self.short = {}
-        for k, w in enumerate(self.words):
-            if len(w) < SEED:
-                self.short.setdefault(tuple(w), []).append(k)
+            if words:
+                by_seed.setdefault(seed_of(len(words)), []).append(len(self.keys))
+                self.keys.append(key)
+                self.words.append(np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words], np.int64))
+        self.seeds = [_Seeds(n, ks, self.words) for n, ks in sorted(by_seed.items())]
 
-    def leaks(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of texts and the keys of the items that leaked into them."""
+    def pairs(self, texts: pd.Series) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """(text, item, words of the text, places of shared seeds, their places in the item, seed length) of each text and item that share one."""
         get = self.vocab.get
         ids, counts = [], []
         for t in texts:
@@ -150,69 +173,92 @@ class Items:
             counts.append(len(mine) + 1)
         flat = np.array(ids, np.int64)
         start = np.r_[0, np.cumsum(counts)]
-        found: list[tuple[int, int]] = []
-        for w, items in self.short.items():
-            for s in np.flatnonzero(flat[: len(flat) - len(w) + 1] == w[0]):
-                if tuple(flat[s : s + len(w)]) == w:
-                    found += [(int(np.searchsorted(start, s, "right")) - 1, self.keys[k]) for k in items]
-        if len(flat) >= SEED and len(self.h):
-            known = np.convolve(flat >= 0, np.ones(SEED, np.int64), "valid") == SEED
-            at = np.flatnonzero(known)
-            h = _hashes(flat, SEED)[at]
-            lo, hi = np.searchsorted(self.h, h, "left"), np.searchsorted(self.h, h, "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            ref = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-            item, pos = self.item[ref], self.pos[ref]
+        for seeds in self.seeds:
+            at, item, pos = seeds.joined(flat)
             doc = np.searchsorted(start, at, "right") - 1
             order = np.lexsort((at, item, doc))
             at, item, pos, doc = at[order], item[order], pos[order], doc[order]
             edge = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])]) if len(at) else np.zeros(0, np.int64)
             for s, e in zip(edge, np.r_[edge[1:], len(at)]):
-                d, k = int(doc[s]), int(item[s])
-                if self._leaked(flat[start[d] : start[d + 1] - 1], at[s:e] - start[d], pos[s:e], self.words[k]):
-                    found.append((d, self.keys[k]))
-        found = sorted(set(found))
+                d = int(doc[s])
+                yield d, int(item[s]), flat[start[d] : start[d + 1] - 1], at[s:e] - start[d], pos[s:e], seeds.n
+
+    def leaks(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of texts and the keys of the items that leaked into them."""
+        found = sorted((d, self.keys[k]) for d, k, words, at, of, n in self.pairs(texts) if _leaked(words, at, of, self.words[k], n))
         return np.array([x for x, _ in found], np.int64), np.array([x for _, x in found], np.int64)
 
-    @staticmethod
-    def _leaked(doc: np.ndarray, at: np.ndarray, of: np.ndarray, item: np.ndarray) -> bool:
-        size = len(item)
-        if len(at) + SEED - 1 < min(RUN, LEAST_COVER * size):
-            return False
-        marked = tiles(at, of)
-        if max(n for n, _, _ in marked) >= min(RUN, size):
-            return True
-        if sum(n for n, _, _ in marked) < LEAST_COVER * size:
-            return False
-        lo, hi = max(0, int(at.min()) - size), min(len(doc), int(at.max()) + size + SEED)
-        if (~np.isin(item, doc[lo:hi])).sum() > size // EDIT_EVERY:  # words found nowhere are an edit each
-            return False
-        return edits_around_gap(item, doc[lo:hi]) <= size // EDIT_EVERY
+    def covers(self, texts: pd.Series, least: float) -> list[tuple[int, int, int, int, float]]:
+        """(text, item key, tiles, longest tile, covered share) of the pairs whose tiles cover enough of the item."""
+        out = []
+        for d, k, _, at, of, n in self.pairs(texts):
+            size = len(self.words[k])
+            if len(np.unique(of)) * n < least * size:  # a seed covers n words at most
+                continue
+            marked = tiles(at, of, n)
+            share = sum(m for m, _, _ in marked) / size
+            if share >= least:
+                out.append((d, self.keys[k], len(marked), max(m for m, _, _ in marked), round(share, 6)))
+        return out
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(doc_id, item_id) of each document and test item that leaked into it.
+def _leaked(doc: np.ndarray, at: np.ndarray, of: np.ndarray, item: np.ndarray, seed: int) -> bool:
+    size = len(item)
+    full = len(np.unique(of)) >= least_seeds(size, seed)
+    if not full and (size < RUN or len(at) < RUN - seed + 1):
+        return False
+    if max(n for n, _, _ in tiles(at, of, seed)) >= min(RUN, size):
+        return True
+    if not full:
+        return False
+    if (~np.isin(item, doc)).sum() > size // EDIT_EVERY:  # words found nowhere are an edit each
+        return False
+    return edits_around_gap(item, doc) <= size // EDIT_EVERY  # the whole text, as what stands in between may be long
 
-    A null or blank text holds nothing, an item without words is in nothing. The items
-    go to every task, in blocks of a bounded number of words.
-    """
+
+def _searched(documents: DataFrame, items: DataFrame, block_words: int, search, schema: str) -> DataFrame:
+    """What search(Items, frame) yields for every block of items over all documents."""
     spark = documents.sparkSession
     size = F.size(F.split(F.coalesce("text", F.lit("")), r"\s+"))
     total = items.agg(F.sum(size)).first()[0] or 0
     blocks = max(1, -(-total // block_words))
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     out = None
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        held = [(r.item_id, r.text) for r in part.select("item_id", "text").where("item_id is not null and text is not null").collect()]
+        held = [(r.item_id, r.text) for r in part.select("item_id", "text").where("item_id is not null and text is not null").distinct().collect()]
         sent = spark.sparkContext.broadcast(held)
 
-        def search(parts, sent=sent):
+        def run(parts, sent=sent):
             known = Items(sent.value)
             for p in parts:
-                who, what = known.leaks(p["text"])
-                yield pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[who].astype(np.int64), "item_id": what})
+                yield search(known, p)
 
-        one = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInPandas(search, "doc_id bigint, item_id bigint")
+        one = texts.mapInPandas(run, schema)
         out = one if out is None else out.unionByName(one)
-    return out.distinct()
+    return out
+
+
+def leaked_items(documents: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id) of each document and test item that leaked into it.
+
+    A null or blank text holds nothing, an item without words is in nothing. The items
+    go to every task, in blocks of a bounded number of words.
+    """
+
+    def search(known: Items, p: pd.DataFrame) -> pd.DataFrame:
+        who, what = known.leaks(p["text"])
+        return pd.DataFrame({"doc_id": p["doc_id"].to_numpy()[who].astype(np.int64), "item_id": what})
+
+    return _searched(documents, items, block_words, search, "doc_id bigint, item_id bigint").distinct()
+
+
+def covered_items(documents: DataFrame, items: DataFrame, least: float = LEAST_COVER, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """(doc_id, item_id, n_tiles, longest_tile, coverage) of each pair whose tiles cover at least that share of the item, in whatever order."""
+
+    def search(known: Items, p: pd.DataFrame) -> pd.DataFrame:
+        rows = pd.DataFrame(known.covers(p["text"], least), columns=["doc_id", "item_id", "n_tiles", "longest_tile", "coverage"])
+        rows["doc_id"] = p["doc_id"].to_numpy()[rows["doc_id"].to_numpy(np.int64)]
+        return rows.astype({"doc_id": "int64", "item_id": "int64", "n_tiles": "int64", "longest_tile": "int64", "coverage": "float64"})
+
+    return _searched(documents, items, block_words, search, "doc_id bigint, item_id bigint, n_tiles bigint, longest_tile bigint, coverage double").distinct()

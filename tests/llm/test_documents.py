@@ -157,3 +157,30 @@ def test_edits_around_gap_against_brute_force(gap):
                     if p >= j:
                         best = min(best, edit(item[:k], doc[i:j]) + edit(item[k:], doc[p:q]))
         assert leaks.edits_around_gap(np.array(item), np.array(doc)) == best
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 19, 23, 24, 32, 39, 40, 41, 48, 56, 64, 102])
+def test_evenly_spread_edits_and_one_insertion_are_found(size):
+    rng = random.Random(size)
+    item = _item(rng, size)
+    known = leaks.Items([(1, " ".join(item))])
+    for trial in range(60):
+        words = list(item)
+        edits = size // 8
+        places = sorted(rng.sample(range(size), edits)) if trial % 2 else [(k + 1) * size // (edits + 1) for k in range(edits)]
+        for p in reversed(places):
+            kind = rng.choice("adx")
+            words[p : p + 1] = {"a": ["other"], "d": [], "x": [words[p], "added"]}[kind]
+        gap = rng.randrange(0, len(words) + 1)
+        text = ["n1", "n2"] + words[:gap] + [f"g{rng.randrange(99)}" for _ in range(rng.randrange(40))] + words[gap:] + ["n3"]
+        assert known.leaks(pd.Series([" ".join(text)]))[1].tolist() == [1], (places, gap)
+
+
+def test_coverage_catches_reordered_passages(spark):
+    rng = random.Random(6)
+    item = _item(rng, 48)
+    docs = [(1, " ".join(item[24:36] + ["x"] * 9 + item[:12] + ["y"] + item[36:]), 1, 1), (2, " ".join(item[:14]), 1, 1), (3, None, 1, 1), (4, " ".join(item), 1, 1), (4, " ".join(item), 1, 1)]
+    items = spark.createDataFrame([(7, " ".join(item), 1), (8, None, 1)], "item_id long, text string, doc_id long")
+    got = {(r.doc_id, r.item_id): (r.n_tiles, r.longest_tile, r.coverage) for r in leaks.covered_items(spark.createDataFrame(docs, D), items).collect()}
+    assert got == {(1, 7): (3, 12, 0.75), (4, 7): (1, 48, 1.0)}
+    assert leaks.leaked_items(spark.createDataFrame(docs[:3], D), items).count() == 0
