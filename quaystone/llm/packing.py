@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quaystone.functions.mailids import is_blank
 from quaystone.operators.ranking import spread_row_number
 from quaystone.session import cut
 
@@ -23,6 +24,8 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A text is encoded in pieces of about this many characters, cut between words, so that long ones need little memory.
 PIECE_CHARS = 20_000
+#: Runs of a plan that are broadcast; a longer plan is joined on the length by a shuffle.
+BROADCAST_RUNS = 500_000
 
 
 def _pieces(text: str) -> list[str]:
@@ -72,7 +75,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
         for texts in batches:
             yield pd.Series([sum(map(of, _pieces(x))) for x in texts], dtype="int64")
 
-    spoken = documents.where(F.length(F.regexp_replace("text", r"[\s ]+", "")) > 0)
+    spoken = documents.where(~is_blank(F.col("text")))
     return spoken.select(F.col("doc_id").cast("long").alias("doc_id"), count("text").alias("n_tokens")).where("n_tokens > 0")
 
 
@@ -136,7 +139,7 @@ def pack(documents: DataFrame, specs: DataFrame, tokenizer: str = TOKENIZER) ->
         slots = spark.createDataFrame(pd.DataFrame(runs, columns=["_len", "_lo", "_hi", "_box", "_fit"]))
         ranked = spread_row_number(pieces, ["n_tokens"], [F.col("doc_id"), F.col("piece_no")], "_rank")
         at = F.col("_rank") - 1
-        placed = ranked.join(F.broadcast(slots), (F.col("n_tokens") == F.col("_len")) & (at >= F.col("_lo")) & (at <= F.col("_hi")))
+        placed = ranked.join(F.broadcast(slots) if len(runs) <= BROADCAST_RUNS else slots, (F.col("n_tokens") == F.col("_len")) & (at >= F.col("_lo")) & (at <= F.col("_hi")))
         one = placed.select(F.lit(spec).cast("long").alias("spec_id"), (F.col("_box") + F.floor((at - F.col("_lo")) / F.col("_fit"))).cast("long").alias("container_id"), "doc_id", "piece_no", "n_tokens", "doc_tokens")
         out = one if out is None else out.unionByName(one)
     if out is None:

@@ -36,6 +36,10 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.sound_conversations(table(spark, d, "messages"), table(spark, d, "engagements"))
 
 
+def p6_threads(spark: SparkSession, d: str) -> DataFrame:
+    return conversations.disentangled(table(spark, d, "messages"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
 
@@ -44,6 +48,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.covered_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetitive(table(spark, d, "documents"))
 
@@ -52,7 +60,7 @@ def p9_repetition(spark: SparkSession, d: str) -> DataFrame:
     return repetition.repetition(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_classes, p6_found, p7_packed, p8_found, p9_found, p9_repetition)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p5_found, p5_classes, p6_found, p6_threads, p7_packed, p8_found, p8_coverage, p9_found, p9_repetition)}
 SQL: dict[str, str] = {
     "p9_found": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS ws FROM documents WHERE text IS NOT NULL),
