@@ -1,16 +1,18 @@
 """Personal items inside free text (problem 1).
 
 Generators of high recall propose spans, which may overlap: addresses of mail, runs of
-digits, street words, and words that may be given or family names. Each gets features of its
-form and its context; boosted trees, trained on a bounded sample that labelling rules
-have marked, score it, and a calibrated threshold for each kind selects. Of spans that
-overlap the likelier stays. The text itself is only read where it lies.
+digits, street words, words that may be given or family names by the address book, and words that merely have the
+shape of a name. Each gets features of its form and its context; boosted trees, trained on a bounded sample that labelling
+rules have marked, score it, and a calibrated threshold for each kind selects. The trees for shapes see nothing of the
+address book: they learn from the names that the book vouches for, and judge those it doesn't have. Of spans that overlap the
+likelier stays. The text itself is only read where it lies.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -18,10 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.llm.boosting import Trees, fit
-from quaystone.llm.names import _FORMAL, _PARTICLES, _TRADES, fold, read_person
+from quaystone.llm.names import _FORMAL, _LEGAL, _PARTICLES, _TRADES, fold, read_person
+from quaystone.llm.packing import TOKENIZER
 from quaystone.session import cut
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
+#: Names of which the address book has no part: they are a person_name, but judged by trees of their own.
+SHAPE = "shape"
+#: A word as common as this, or two common words, make no name unless a title or a word that asks for a person stands before them.
+COMMON = 3
+#: Least calibrated chance of a name that nothing but its shape and context speaks for.
+SHAPE_CHANCE = 0.9
 #: Texts that the trees are trained on at most, chosen by hash over all three tables.
 TRAIN_TEXTS = 6000
 #: Family names end and begin alike in at least this share; typing errors make rarer ends.
@@ -72,6 +81,8 @@ _NUMBER = re.compile(
     |(?P<nat>(?:1{_GAP})?\(\d{{3}}\){_GAP}?\d{{3}}[ .-]?\n?\d{{4}}(?:{_GAP}?(?:ext\.?|x){_GAP}?\d{{1,5}})?)
     |(?P<dash>(?:1[-.])?\d{{3}}(?P<q>[-.])\d{{3}}(?P=q)\d{{4}}(?:{_GAP}?(?:ext\.?|x){_GAP}?\d{{1,5}})?)
     |(?P<ssn>\d{{3}}(?P<r>-|\.|[ \xa0\n])\d{{2}}(?:(?P=r)|[ \xa0\n])\d{{4}})
+    |(?P<trunk>0\d{{1,4}}(?:[ \xa0/-]\d{{2,4}}){{1,4}}|0\d{{9,10}})
+    |(?P<seven>\d{{3}}-\d{{4}})
     |(?P<eleven>\d{{2}}{_GAP}\d{{3}}{_GAP}\d{{3}}{_GAP}\d{{3}})
     |(?P<ni>[A-Z]{{2}}{_GAP}?\d{{2}}{_GAP}?\d{{2}}{_GAP}?\d{{2}}{_GAP}?[A-D])
     |(?P<lic>[A-Z]\d{{3}}-\d{{4}}-\d{{4}})
@@ -84,8 +95,8 @@ _NUMBER = re.compile(
 )
 # National digits by country code.
 _NATIONAL = {"1": 10, "33": 9, "44": 10, "49": 11, "34": 9}
-_PHONE_FORMS = {"intl", "nat", "dash", "ten"}
-_FORMS = ("intl", "nat", "dash", "ssn", "eleven", "ni", "lic", "dni", "pass", "ten", "nine")
+_PHONE_FORMS = {"intl", "nat", "dash", "ten", "trunk", "seven"}
+_FORMS = ("intl", "nat", "dash", "ssn", "eleven", "ni", "lic", "dni", "pass", "ten", "nine", "trunk", "seven")
 
 _W = r"[A-ZÀ-ÖØ-ÞŁ][\w'’.-]*"
 _US = r"(?:Street|St|Road|Rd|Avenue|Ave|Boulevard|Blvd|Lane|Ln|Drive|Dr|Court|Ct|Terrace|Ter|Way|Place|Pl|Parkway|Pkwy|Highway|Hwy|Square|Sq|STREET|ST|ROAD|RD|AVENUE|AVE|BOULEVARD|BLVD|LANE|LN|DRIVE|DR|COURT|CT|TERRACE|TER|WAY|PLACE|PL|PARKWAY|PKWY|HIGHWAY|SQUARE)"
@@ -94,15 +105,21 @@ _STREET_FORMS = (
     ("fr", re.compile(rf"(?<![\w.,/-])\d{{1,4}}(?:{_GAP}?(?:bis|ter))?,?{_GAP}(?:rue|avenue|impasse|boulevard|place|chemin|allée|quai|route|cours|RUE|AVENUE|IMPASSE|BOULEVARD|PLACE|CHEMIN|ALLÉE|QUAI|ROUTE)\b(?:{_GAP}(?:de|du|des|la|le|les|DE|DU|DES|LA|LE|LES)\b)*{_GAP}(?:[dlDL]['’])?{_W}")),
     ("de", re.compile(rf"(?<!\w)(?:[A-ZÄÖÜ][\wß-]*?(?:straße|strasse|str\.|weg|gasse|allee|platz|ring|damm|ufer|STRASSE|STRAßE|WEG|GASSE|ALLEE|PLATZ)|(?:Am|An{_GAP}der|Im|Auf{_GAP}dem|Zum|Zur|AM|IM|ZUM|ZUR)(?:{_GAP}{_W}){{1,3}}){_GAP}\d{{1,4}}{_GAP}?[a-zA-Z]?\b(?![.:-]\d)")),
     ("es", re.compile(rf"(?<!\w)(?:Calle|Avenida|Avda\.?|Plaza|Paseo|Camino|Carrera|Ronda|CALLE|AVENIDA|PLAZA|PASEO|CAMINO)\b(?:{_GAP}(?:de|del|la|las|los|el|DE|DEL|LA|LAS|LOS|EL)\b)*(?:{_GAP}{_W}){{1,3}}?,?{_GAP}(?:n\.?º?{_GAP})?\d{{1,4}}\b")),
+    ("it", re.compile(rf"(?<!\w)(?:Via|Viale|Piazza|Corso|Largo|Vicolo)(?:{_GAP}(?:di|del|della|dei|delle|degli|dell['’]))?(?:{_GAP}{_W}){{1,3}}?,?{_GAP}\d{{1,4}}\b(?![.:/-]\d)")),
+    ("nl", re.compile(rf"(?<!\w)[A-Z][\w’'-]*(?:straat|gracht|laan|plein|kade|dijk|singel|steeg){_GAP}\d{{1,4}}{_GAP}?[a-zA-Z]?\b(?![.:/-]\d)")),
 )
 # A text without any of these has no street of the form.
 _STREET_HINTS = {
     "us": tuple(" St Ro Rd Av Bo Bl La Ln Dr Co Ct Te Wa Pl Pa Pk Hi Hw Sq ST RO RD AV BO BL LA LN DR CO CT TE WA PL PA PK HI HW SQ".split()),
     "fr": ("rue", "avenue", "impasse", "boulevard", "place", "chemin", "allée", "quai", "route", "cours", "RUE", "AVENUE", "IMPASSE", "BOULEVARD", "PLACE", "CHEMIN", "ALLÉE", "QUAI", "ROUTE"),
     "de": ("straße", "strasse", "str.", "weg ", "weg\n", "gasse", "allee", "platz", "ring ", "damm ", "ufer ", "Am ", "An der", "Im ", "Auf dem", "Zum ", "Zur ", "AM ", "IM ", "ZUM ", "ZUR ", "STRASSE", "STRAßE", "WEG", "GASSE", "ALLEE", "PLATZ", "Am\n", "Im\n"),
+    "it": ("Via ", "Viale ", "Piazza ", "Corso ", "Largo ", "Vicolo "),
+    "nl": ("straat", "gracht", "laan", "plein", "kade", "dijk", "singel", "steeg"),
     "es": ("Calle", "Avenida", "Avda", "Plaza", "Paseo", "Camino", "Carrera", "Ronda", "CALLE", "AVENIDA", "PLAZA", "PASEO", "CAMINO"),
 }
+_DIGIT = re.compile(r"\d")
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_TITLE_WORD = re.compile(r"(?:mr|mrs|ms|miss|dr|prof|hr|herr|frau|m|mme|sir|madam|team|dear|hello|hi)", re.IGNORECASE)
 _TITLE_BEFORE = re.compile(r"(?:^|\W)(?:mr|mrs|ms|miss|dr|prof|hr|herr|frau|m|mme)\.?\s+$", re.IGNORECASE)
 _NAME_LEFT = re.compile(r"(?:/s/|signed by|by:|by|approved:|attention|attn:?|for|with|reach|and|that|used|check for|from:?|von:|de ?:|schrieb|wrote|spoke with|\d,|\bam|\bpm|\d\d|contact|to)\s*(?:(?:mr|mrs|ms|dr|prof|hr)\.?\s+)?$", re.IGNORECASE)
 _NAME_RIGHT = re.compile(r"\s*(?:,? ?(?:cfo|ceo|controller|audit|tax|ap lead|fp&a|treasury|payroll|internal|engagement|assistant|director|manager)\b|<|\(|/ |left\b|from\b|moved\b|at\b|and\b|:|a écrit|escribió|wrote|\t|\.?$|\.|,|\n)", re.IGNORECASE)
@@ -121,7 +138,7 @@ _HEAD_NAME = re.compile(r"^(?:name|employee|mitarbeiter|nom|employé|salarié|no
 
 
 # Words that stand before a family name without being a given name.
-_NO_GIVEN = {"mrs", "miss", "prof", "herr", "frau", "mme", "sir", "the", "and", "partner", "auditor", "team", "dear", "hello", "from", "von", "van", "der", "attention", "contact", "vendor", "name", "near", "with", "for", "bonjour", "hola", "hallo", "liebe", "guten", "good", "morning", "estimado", "estimada", "cher", "chere", "best", "regards", "thanks", "cheers", "sincerely", "cordialement", "saludos"}
+_NO_GIVEN = {"mrs", "miss", "prof", "herr", "frau", "mme", "sir", "the", "and", "partner", "auditor", "team", "dear", "hello", "from", "von", "van", "der", "attention", "contact", "vendor", "name", "near", "with", "for", "bonjour", "hola", "hallo", "liebe", "guten", "good", "morning", "estimado", "estimada", "cher", "chere", "best", "regards", "thanks", "cheers", "sincerely", "cordialement", "saludos", "viele", "beste", "freundliche", "herzliche", "schöne", "many", "kind", "warm", "yours", "cordiales", "bien", "buenos", "buenas", "muchas"}
 
 
 class Parts:
@@ -133,6 +150,7 @@ class Parts:
             if formal in given:
                 self.given.setdefault(nick, given[formal] / 2)
         self.seen: dict[str, tuple[float, float, float, float, bool, float]] = {}
+        self.opens = _Opens(self)
 
     def of(self, word: str) -> tuple[float, float, float, float, bool, float]:
         """(given, family, end, head) of a word as typed, shares of the address book in logarithmic steps; whether a name may start or end with it; share of a part that may be either."""
@@ -150,6 +168,20 @@ class Parts:
         return got
 
 
+class _Opens(dict):
+    """Whether a name may open with a word: one that the book knows, or a capitalised one, if the next tells a family name."""
+
+    def __init__(self, parts: Parts):
+        super().__init__()
+        self.parts = parts
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = out = self.parts.of(word)[4] or len(word) > 2 and word[0].isupper() and fold(word) not in _NO_GIVEN
+        return out
+
+
 def _case(word: str) -> int:
     return 2 if word.isupper() and len(word) > 1 else 1 if word[0].isupper() else 0
 
@@ -222,6 +254,8 @@ class Reader:
                 e = self.phone_end(s, e)
                 if e < 0:
                     continue
+            elif form == "trunk" and not 9 <= sum(c.isdigit() for c in m[0]) <= 12:
+                continue
             left, right = t[max(0, s - 40) : s], t[e : e + 30]
             head, fills, person = self.cell(s, e)
             line_start = t.rfind("\n", 0, s) + 1
@@ -231,8 +265,10 @@ class Reader:
 
     def streets(self):
         t = self.t
+        if not _DIGIT.search(t):
+            return
         for k, (form, pattern) in enumerate(_STREET_FORMS):
-            if not any(h in t for h in _STREET_HINTS[form]):
+            if not any(map(t.__contains__, _STREET_HINTS[form])):
                 continue
             for m in pattern.finditer(t):
                 s, e = m.start(), m.end()
@@ -245,21 +281,21 @@ class Reader:
 
     def names(self):
         t, of = self.t, self.parts.of
-        words = [(*m.span(), m[0]) for m in _TOKEN.finditer(t)]
-        n = len(words)
+        found = list(_TOKEN.finditer(t))
+        plain = [m[0] for m in found]
+        n = len(found)
         seen = self.parts.seen
-        for i, (s, e, w) in enumerate(words):
+        # only words that may open a name are looked at one by one
+        for i in compress(range(n - 1), map(self.parts.opens.__getitem__, plain)):
+            w = plain[i]
             known = seen.get(w) or of(w)
-            if i + 1 == n:
-                break
             if not known[4]:
                 # an unknown given name, told by the family name after it
-                if len(w) < 3 or not w[0].isupper():
-                    continue
-                family = words[i + 1][2]
+                family = plain[i + 1]
                 after = seen.get(family) or of(family)
-                if not (after[2] and after[3]) or after[0] or _case(family) != _case(w) or fold(w) in _NO_GIVEN:
+                if not (after[2] and after[3]) or after[0] or _case(family) != _case(w):
                     continue
+            s, e = found[i].span()
             g, f, end, head, _, either = known
             single = len(w) == 1
             if s and t[s - 1] in "@/&" and t[s - 4 : s] != "/s/ ":
@@ -267,9 +303,9 @@ class Reader:
             # what follows: particles, a middle initial, then the other part
             j, last, comma, middle, particles = i + 1, e, False, 0, 0
             while j < n:
-                a, b, x = words[j]
+                (a, b), x = found[j].span(), plain[j]
                 gap = t[last:a]
-                dot = gap[:1] == "." and len(t[words[j - 1][0] : words[j - 1][1]]) == 1
+                dot = gap[:1] == "." and len(plain[j - 1]) == 1
                 body = gap[1:] if dot else gap
                 if body[:1] == "," and not comma and j == i + 1 + particles and not single:
                     comma, body = True, body[1:]
@@ -289,7 +325,7 @@ class Reader:
                 break
             if j >= n:
                 continue
-            a, b, x = words[j]
+            (a, b), x = found[j].span(), plain[j]
             g2, f2, end2, head2, _, either2 = of(x)
             if either and (g2 or f2 or end2):
                 g, f = (0.0, either) if g2 else (either, 0.0)
@@ -300,13 +336,13 @@ class Reader:
                 continue
             if single and not (f2 or end2):
                 continue
-            if b < len(t) and t[b] == "@" or t[b : b + 1] == "." and t[b + 1 : b + 2].isalnum() or s and t[s - 1] == "." and s > 1 and t[s - 2].isalnum() and len(words[i - 1][2]) > 1:
+            if b < len(t) and t[b] == "@" or t[b : b + 1] == "." and t[b + 1 : b + 2].isalnum() or s and t[s - 1] == "." and s > 1 and t[s - 2].isalnum() and len(plain[i - 1]) > 1:
                 continue
             start = s
             k = i - 1
             if comma:
-                while k >= 0 and fold(words[k][2]) in _PARTICLES and len(words[k][2]) <= 3 and t[words[k][1] : start].strip(" \xa0\n") == "" and words[k][1] < start and t[words[k][1] : start].count("\n") < 2:
-                    start = words[k][0]
+                while k >= 0 and fold(plain[k]) in _PARTICLES and len(plain[k]) <= 3 and t[found[k].end() : start].strip(" \xa0\n") == "" and found[k].end() < start and t[found[k].end() : start].count("\n") < 2:
+                    start = found[k].start()
                     k -= 1
             stop = b + (1 if initial2 and t[b : b + 1] == "." else 0)
             left, right = t[max(0, start - 26) : start], t[stop : stop + 22]
@@ -324,6 +360,77 @@ class Reader:
         yield from self.names()
 
 
+_NAME_WORD = r"[A-ZÀ-ÖØ-ÞŁ][^\W\d_]*(?:['’-][^\W\d_]+)*"
+_PART = "(?:van|von|der|de|den|del|della|di|da|la|le|al|el|bin|ibn|ten|ter|zu|zum|dos|du)"
+# the first capital is taken and the rest only looked at, so that a name may start within what looks like one
+_SHAPED = re.compile(rf"[A-ZÀ-ÖØ-ÞŁ](?<![\w@/&.'’-].)(?=(?P<a>[^\W\d_]*(?:['’-][^\W\d_]+)*)\.?(?:[ \xa0]\n?|\n)(?P<m>[A-ZÀ-ÖØ-ÞŁ]\.?[ \xa0])?(?P<p>(?:{_PART}[ \xa0])*)(?P<b>{_NAME_WORD}(?<=[^\W\d_]{{2}}))(?![\w@]))")
+_CAP_BEFORE, _CAP_AFTER = re.compile(r"[A-ZÀ-ÖØ-ÞŁ][\w'’-]*[ \xa0]$"), re.compile(r"[ \xa0-][A-ZÀ-ÖØ-ÞŁ]")
+# Words that ask for a person after them.
+_ASKS = set("with met call called ask asked told thank thanked reach contact cc dear hi hello attn attention by colleague sincerely regards interviewed interview according from von de name signed /s/ cheers thanks approved reviewer preparer".split())
+_ASKS_BELOW = set("sincerely regards cheers thanks name from signed approved reviewer preparer contact attention".split())
+_TITLES_BEFORE = set("mr mrs ms miss dr prof hr herr frau m mme".split())
+_PERSON_RIGHT = re.compile(r"\s*(?:,? ?(?:cfo|ceo|coo|controller|auditor|manager|director|partner|assistant|analyst|accountant|treasurer|clerk)\b|<|\(|(?:said|says|wrote|asked|told|called|confirmed|signed|left|joined|will|has|is|was|who|agreed|approved|schrieb|a écrit|escribió)\b|from the\b|at the\b)", re.IGNORECASE)
+
+
+class Vocabulary:
+    """How common words are in lower case, by their rank in a public vocabulary; names are hardly ever in it."""
+
+    def __init__(self, tokenizer: str = TOKENIZER):
+        import base64
+
+        with open(tokenizer, "rb") as f:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.seen: dict[str, tuple[float, bool]] = {}
+
+    def of(self, word: str) -> tuple[float, bool]:
+        """Steps from 0, absent, to 6, most common, of a word with hyphens those of its most common part; whether it addresses people or is a legal form, and so is part of no name."""
+        got = self.seen.get(word)
+        if got is None:
+            ranks = [self.ranks.get(f" {x}".encode()) for x in word.lower().split("-")]
+            got = max(0.0 if r is None else float(max(1, 6 - r // 10_000)) for r in ranks), fold(word) in _NO_GIVEN or word.lower() in _LEGAL or bool(_TITLE_WORD.fullmatch(word))
+            if len(self.seen) > 300_000:
+                self.seen.clear()
+            self.seen[word] = got
+        return got
+
+
+def shapes(reader: Reader, words: Vocabulary, taken: list[tuple[int, int]]):
+    """Spans of the shape `Given Family`, in capitals or not, with an initial or particles, whether or not the address book knows a part of them.
+
+    Not proposed is what meets a taken span (in order), starts with a word of address or ends in a title or legal form, and common words
+    without a title or a word that asks for a person before them.
+    """
+    t = reader.t
+    starts = [s for s, _ in taken]
+    for m in _SHAPED.finditer(t):
+        s, e, b = m.start(), m.end("b"), m["b"]
+        if starts:
+            k = bisect_right(starts, e - 1)
+            if any(x > s for _, x in taken[max(0, k - 3) : k]):
+                continue
+        a = t[s : m.end("a")]
+        (common_a, opens_none), (common_b, ends_none) = words.of(a), words.of(b)
+        if opens_none or ends_none or (t[s + 1] not in ". " if len(a) == 1 else t[m.end("a")] == "."):
+            continue
+        left = t[max(0, s - 26) : s]
+        if left[-1:] in (" ", "\xa0") and left[-2:-1].isalpha() and (given := _CAP_BEFORE.search(left)) and len(given[0]) > 2 and words.of(given[0][:-1]) == (0.0, False):
+            s -= len(given[0])  # a first of several given names
+            left = t[max(0, s - 26) : s]
+        last = left.split()[-1:] or [""]
+        word = last[0].lower().strip(".:,;(")
+        title, asked = word in _TITLES_BEFORE, word in _ASKS and last[0][-1] != "." and ("\n" not in t[max(0, s - 3) : s] or word in _ASKS_BELOW)
+        if not asked and not title and (common_a >= COMMON or common_b >= COMMON or common_a and common_b):
+            continue
+        right = t[e : e + 22]
+        header, fills, _ = reader.cell(s, e)
+        before = left.rstrip(" \xa0")
+        yield SHAPE, s, e, (
+            common_a, common_b, float(len(a) == 1), float(_case(a)), float(_case(b)), float(bool(m["m"])), float(bool(m["p"])), float(title), float(asked), float(bool(_PERSON_RIGHT.match(right))),
+            float(bool(_NAME_LEFT.search(left))), float(bool(_NAME_RIGHT.match(right))), float(bool(_STREETWORD.match(right))), float(bool(_ORG_RIGHT.match(right)) or b.lower() in _TRADES),
+            float(bool(_CAP_BEFORE.search(left))), float(bool(_CAP_AFTER.match(right))), float(before[-1:] in ("", ".", "!", "?", "\n", ":")), float("\n" in t[s:e]), float(bool(_HEAD_NAME.search(header))), fills,
+        )
+
+
 # ---- labelling rules for the training sample
 
 
@@ -339,6 +446,8 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
         if kind == "phone":
             if named and not phone or head_not:
                 return 0
+            if form in ("trunk", "seven"):
+                return int(phone or head_phone or form == "trunk" and alone)
             return 1 if form in ("intl", "nat", "dash") or phone or head_phone or alone else None
         if labelled or head_id or fills and person or x[12]:
             return 1
@@ -370,46 +479,63 @@ def rule_label(kind: str, x: tuple[float, ...]) -> int | None:
     return 0 if not (f2 or end2 or f or end) or g and g2 else None
 
 
-def training_set(texts: list[str], parts: Parts) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    rows: dict[str, list] = {k: [] for k in KINDS}
+def _proposed(text: str, parts: Parts, words: Vocabulary):
+    """The reader of a text and its candidates; of shapes only those that the address book proposes nothing in."""
+    reader = Reader(text, parts)
+    known = list(reader.candidates())
+    return reader, known, list(shapes(reader, words, sorted((s, e) for kind, s, e, _ in known if kind == "person_name")))
+
+
+def training_set(texts: list[str], parts: Parts, words: Vocabulary) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Candidates that a rule can label. A shape is a name where the book vouches for the very span, and none where it proposes nothing in it."""
+    rows: dict[str, list] = {k: [] for k in (*KINDS, SHAPE)}
     for t in texts:
-        for kind, _, _, x in Reader(t, parts).candidates():
+        reader, known, free = _proposed(t, parts, words)
+        sure = set()
+        for kind, s, e, x in known:
             y = rule_label(kind, x)
             if y is not None:
                 rows[kind].append((x, y))
+                if kind == "person_name" and y:
+                    sure.add((s, e))
+        rows[SHAPE] += [(x, 1) for _, s, e, x in shapes(reader, words, []) if (s, e) in sure] + [(x, 0) for *_, x in free]
     return {k: (np.array([x for x, _ in v], float), np.array([y for _, y in v], float)) for k, v in rows.items()}
 
 
-def train(texts: list[str], parts: Parts) -> dict[str, Trees]:
-    return {k: fit(x, y) for k, (x, y) in training_set(texts, parts).items() if len(x)}
+def train(texts: list[str], parts: Parts, words: Vocabulary) -> dict[str, Trees]:
+    models = {k: fit(x, y) for k, (x, y) in training_set(texts, parts, words).items() if len(x)}
+    if SHAPE in models:
+        models[SHAPE].cut = max(models[SHAPE].cut, SHAPE_CHANCE)
+    return models
 
 
 # ---- selection
 
 
-def find_items(texts: list[str | None], parts: Parts, models: dict[str, Trees]) -> tuple[list[int], list[str], list[int], list[int]]:
+def find_items(texts: list[str | None], parts: Parts, models: dict[str, Trees], words: Vocabulary) -> tuple[list[int], list[str], list[int], list[int]]:
     """(text, kind, start, end) of the selected items, in order of text and start."""
     pool: dict[str, list] = {k: [] for k in models}
     for i, text in enumerate(texts):
         if text and not text.isspace():
-            reader = Reader(text, parts)
-            for kind, s, e, x in reader.candidates():
+            reader, known, free = _proposed(text, parts, words)
+            for kind, s, e, x in known + free:
                 if kind in pool:
                     pool[kind].append((i, reader.view.original(s), reader.view.original(e - 1) + 1, x))
     chosen = []
     for kind, rows in pool.items():
         if rows:
             p = models[kind].chance(np.array([r[3] for r in rows], float))
-            chosen += [(r[0], -q, -(r[2] - r[1]), r[1], r[2], kind) for r, q in zip(rows, p) if q >= models[kind].cut]
+            # a shape yields to whatever the other generators are sure of
+            chosen += [(r[0], kind == SHAPE, -q, -(r[2] - r[1]), r[1], r[2], kind) for r, q in zip(rows, p) if q >= models[kind].cut]
     chosen.sort()
     out: list[tuple[int, int, int, str]] = []
     text, taken = -1, []
-    for i, _, _, s, e, kind in chosen:
+    for i, _, _, _, s, e, kind in chosen:
         if i != text:
             text, taken = i, []
         if all(e <= a or s >= b for a, b in taken):
             taken.append((s, e))
-            out.append((i, s, e, kind))
+            out.append((i, s, e, "person_name" if kind == SHAPE else kind))
     out.sort()
     return [x[0] for x in out], [x[3] for x in out], [x[1] for x in out], [x[2] for x in out]
 
@@ -459,7 +585,7 @@ def all_texts(messages: DataFrame, sheets: DataFrame, spans: DataFrame) -> DataF
     return pick(messages, "messages", "delivery_id", "body_text").unionByName(pick(sheets, "sheets", "sheet_id", "text")).unionByName(pick(spans, "spans", "span_id", "snippet"))
 
 
-def trained(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame, most: int = TRAIN_TEXTS) -> tuple[Parts, dict[str, Trees]]:
+def trained(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame, most: int = TRAIN_TEXTS, tokenizer: str = TOKENIZER) -> tuple[Parts, dict[str, Trees]]:
     """Name parts from the whole address book, and trees fitted on at most `most` texts.
 
     The sample is a share of each table chosen by hash of its key, cut at its third of `most`; it only trains, what is searched
@@ -472,37 +598,37 @@ def trained(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses:
         share = min(1.0, most / 3 / max(1, n))
         some = df.where(F.col(text).isNotNull() & (F.pmod(F.xxhash64(key), F.lit(1_000_000)) < int(share * 1_000_000) + 1)).select(F.col(key).alias("k"), F.col(text).alias("t")).orderBy(F.xxhash64("k"), "k").limit(most // 3)
         sample += [(r.k, r.t) for r in some.collect()]
-    return parts, train([t for _, t in sample], parts)
+    return parts, train([t for _, t in sample], parts, Vocabulary(tokenizer))
 
 
-def personal_items(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame) -> DataFrame:
+def personal_items(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(src_table, row_id, pii_kind, start_pos, end_pos) of each personal item; positions count characters from 0.
 
     Null and blank texts have none; a text of any length is read whole.
     """
-    parts, models = trained(messages, sheets, spans, addresses)
+    parts, models = trained(messages, sheets, spans, addresses, tokenizer=tokenizer)
     known = (parts.given, parts.family, parts.ends, parts.heads, parts.either)
 
     def search(frames):
-        own = Parts(*known)
+        own, words = Parts(*known), Vocabulary(tokenizer)
         for p in frames:
-            who, kind, start, end = find_items(p["text"].tolist(), own, models)
+            who, kind, start, end = find_items(p["text"].tolist(), own, models, words)
             yield pd.DataFrame({"src_table": p["src_table"].to_numpy()[who], "row_id": p["row_id"].to_numpy()[who], "pii_kind": kind, "start_pos": np.array(start, np.int64), "end_pos": np.array(end, np.int64)})
 
     return all_texts(messages, sheets, spans).mapInPandas(search, "src_table string, row_id bigint, pii_kind string, start_pos bigint, end_pos bigint")
 
 
-def redacted(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame) -> DataFrame:
+def redacted(messages: DataFrame, sheets: DataFrame, spans: DataFrame, addresses: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(src_table, row_id, text, n_items) of each text, with [EMAIL], [PHONE], [ID_NUMBER], [STREET_ADDRESS] or [PERSON_NAME] for each item."""
-    parts, models = trained(messages, sheets, spans, addresses)
+    parts, models = trained(messages, sheets, spans, addresses, tokenizer=tokenizer)
     known = (parts.given, parts.family, parts.ends, parts.heads, parts.either)
 
     def replace(frames):
-        own = Parts(*known)
+        own, words = Parts(*known), Vocabulary(tokenizer)
         for p in frames:
             texts = p["text"].tolist()
             pieces: list[list] = [[] for _ in texts]
-            for i, kind, s, e in zip(*find_items(texts, own, models)):
+            for i, kind, s, e in zip(*find_items(texts, own, models, words)):
                 pieces[i].append((s, e, kind))
             out = []
             for t, items in zip(texts, pieces):

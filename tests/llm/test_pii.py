@@ -10,6 +10,7 @@ SMALL = "/root/testdata/sf0.001"
 
 M = "delivery_id long, body_text string, text string, row_id string, sender struct<display_name:string,email:string>, to_addrs array<struct<display_name:string,email:string>>, cc_addrs array<struct<display_name:string,email:string>>"
 S = "sheet_id long, text string"
+WORDS = pii.Vocabulary()
 P = "span_id long, snippet string"
 
 
@@ -19,7 +20,7 @@ def known(spark):
 
 
 def _find(text, known):
-    return [(k, text[s:e]) for _, k, s, e in zip(*pii.find_items([text], *known))]
+    return [(k, text[s:e]) for _, k, s, e in zip(*pii.find_items([text], *known, WORDS))]
 
 
 @pytest.mark.parametrize(
@@ -58,7 +59,7 @@ def test_names_in_any_order_and_across_lines(known):
 def test_positions_point_into_the_stored_text(spark, known):
     rows = table(spark, SMALL, "messages").select("body_text").collect()
     texts = [r.body_text for r in rows]
-    for i, kind, s, e in zip(*pii.find_items(texts, *known)):
+    for i, kind, s, e in zip(*pii.find_items(texts, *known, WORDS)):
         item = texts[i][s:e]
         assert item == item.strip() and (kind != "email" or "example" in item.lower())
 
@@ -110,3 +111,36 @@ def test_rare_parts_are_known_in_a_large_book(spark):
     text = "Signed by Gregory Quolzyx today. Paid by Thomas Vurbnimsk in cash; ask for Vurbnimsk Quolzyx then."
     found = {text[s:e] for kind, s, e, x in pii.Reader(text, parts).candidates() if kind == "person_name" and pii.rule_label(kind, x) == 1}
     assert found == {"Gregory Quolzyx", "Thomas Vurbnimsk", "Vurbnimsk Quolzyx"}
+
+
+OUTSIDERS = "Sarah Johnson,Kwame Boateng,Priya Raghunathan,Olga Petrova,Hiroshi Tanaka,Fatima Zahra,Liam Gallagher,Chiara Bellini,Mateusz Kowalski,Ngozi Okafor,Sven Halvorsen,Aisha Rahman,Dmitri Sokolov,Camille Lefebvre,Joao Teixeira,Ingrid Solberg,Tariq Mahmood,Yuki Nakamura,Bronwyn Pritchard,Zoltan Szabo".split(",")
+
+
+@pytest.fixture(scope="module")
+def taught(spark):
+    return pii.trained(*[table(spark, "/root/testdata/sf0.1", t) for t in ("messages", "sheets", "spans", "addresses")])
+
+
+def test_names_that_the_address_book_lacks(taught):
+    """Trained on the full sample; some contexts, like a title alone, are too rare in it to be learnt."""
+    known = taught
+    frames = ("I spoke with {} from the bank.", "Please call {} (CFO) today.", "Regards,\n{}", "It was signed by {}, controller of the vendor.")
+    found = [[_find(f.format(x), known) == [("person_name", x)] for x in OUTSIDERS] for f in frames]
+    assert sum(map(sum, found)) >= 0.8 * len(frames) * len(OUTSIDERS), [sum(x) for x in found]
+    for text in ("The Trial Balance for Harrowgate Foods is due.", "London Bridge is closed.", "Viele Grüße", "We met On Sunday. Bitte Rechnung senden."):
+        assert _find(text, known) == []
+    assert _find("Contact: Mary Ellen Walsh (CFO)", known) == [("person_name", "Mary Ellen Walsh")]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Call 0171 234 5678 today", [("phone", "0171 234 5678")]),
+        ("tel. 020 7946 0958", [("phone", "020 7946 0958")]),
+        ("Invoice 0829-193-84 was paid", []),
+        ("lives at Prinsengracht 263, 1016 Amsterdam", [("street_address", "Prinsengracht 263")]),
+        ("Via Roma 12, 00184 Roma", [("street_address", "Via Roma 12")]),
+    ],
+)
+def test_forms_of_other_countries(known, text, want):
+    assert _find(text, known) == want
