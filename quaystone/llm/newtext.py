@@ -1,16 +1,17 @@
 """The lines of a mail that its sender newly wrote (problem 2).
 
 A first pass reads each body where it lies: quoted lines, introductions, pasted headers,
-signatures, notices and footers go by their form. What is left is compared with the
-ancestors that the reference headers name: both sides carry rolling hashes of five words,
-thinned alike, and a paragraph whose hashes lie in order in an ancestor is inherited. Only hashes
-are shuffled, never bodies.
+signatures, notices and footers go by their form. Threads are then rebuilt from the reference headers: a row's ancestors
+are the ids it names and all that those name in turn. What is left of a body is aligned with each ancestor by rolling hashes of
+five words: a paragraph most of whose hashes lie in an ancestor, as common subsequences, is inherited, and so is
+a line within another paragraph that an ancestor has word by word. Only hashes are shuffled, never bodies.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -21,10 +22,10 @@ from quaystone.functions.mailids import message_key, message_keys
 from quaystone.session import cut
 
 SHINGLE = 5
-#: Of the rolling hashes one in THIN is kept, on both sides the same.
-THIN = 2
-#: Share of a paragraph's hashes that an ancestor must hold in order.
+#: Share of a paragraph's hashes that an ancestor must hold, in common subsequences of at least two.
 LEAST_SHARE = 0.8
+#: Words of a line that is inherited though the rest of its paragraph is new.
+LEAST_LINE = 12
 
 # Closing formulas, openings of notices and footers, words of job titles.
 _CLOSINGS = (
@@ -93,8 +94,9 @@ def _capitalised(line: str) -> bool:
     return 2 <= len(words) <= 5 and all(w[0].isupper() or w in ("van", "der", "de", "la", "von", "al", "del", "di") or w.startswith("al-") for w in words) and not any(c.isdigit() or c in ".,:;?!()@|/" for c in line)
 
 
-def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[int], list[bool]]:
-    """Numbers of the lines that look newly written, and for every line whether it is neither blank, quoted nor pasted history."""
+def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[int], list[bool], int, bool]:
+    """Numbers of the lines that look newly written; for every line whether it is neither blank, quoted nor pasted history; the line
+    in which a second letter begins, or -1, and whether the sender's own name stands below it, so that it may be to a second person."""
     lines = [x.rstrip() for x in body.split("\n")]
     n = len(lines)
     plain = [False] * n
@@ -108,6 +110,7 @@ def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[i
     own: list[int] = []
     past: list[int] = []
     sender = None
+    turn, signed = -1, False
     mode = "new"  # new, sign, notice or past
     intro = False
     i = 0
@@ -160,6 +163,9 @@ def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[i
             mode = "notice" if mode != "sign" else "sign"
             i += 1
             continue
+        if turn >= 0 and mode == "sign" and len(s) < 50:
+            sender = sender or Sender(display, email)
+            signed = signed or sender.is_name(s)
         if mode in ("sign", "notice") or _BANNER.match(x) or _MOBILE.match(s):
             i += 1
             continue
@@ -168,9 +174,8 @@ def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[i
             i += 1
             continue
         if is_salutation(s):
-            if any(not is_salutation(lines[k].strip()) for k in own):  # a second letter begins: pasted without a word
-                mode = "past"
-                continue
+            if turn < 0 and any(not is_salutation(lines[k].strip()) for k in own):
+                turn = i
         elif len(s) < 50:
             if sender is None:
                 sender = Sender(display, email)
@@ -181,39 +186,39 @@ def own_lines(body: str, display: str | None, email: str | None) -> tuple[list[i
             alone = apart and ends and (_capitalised(s) or s.isalpha() and s[0].isupper())
             if sender.is_name(s) and (ends or card or " " in s) or card and _capitalised(s) or alone:
                 mode = "sign"
+                signed = signed or turn >= 0 and sender.is_name(s)
                 i += 1
                 continue
         own.append(i)
         i += 1
     for k in past:
         plain[k] = False
-    return own, plain
+    return own, plain, turn, signed
 
 
 def _shingles(words: list[str]) -> np.ndarray:
-    """The thinned rolling hash of each run of words, as (position, hash) columns."""
+    """The rolling hash of each run of words, never 0."""
     if len(words) < SHINGLE:
-        return np.zeros((0, 2), np.int64)
+        return np.zeros(0, np.int32)
     w = pd.util.hash_array(np.array(words, dtype=object), categorize=False)
     with np.errstate(over="ignore"):
         h = np.zeros(len(w) - SHINGLE + 1, np.uint64)
         for k in range(SHINGLE):
             h = h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - SHINGLE + 1 + k]
         h ^= h >> np.uint64(32)
-    at = np.flatnonzero(h % np.uint64(THIN) == 0)
-    return np.c_[at, (h[at] >> np.uint64(2)).astype(np.uint32).view(np.int32).astype(np.int64)]
+    return (h.astype(np.uint32) | np.uint32(1)).view(np.int32)
 
 
-_SCAN = "own array<int>, starts array<boolean>, at array<int>, hash array<int>, whole array<int>"
+_SCAN = "own array<int>, starts array<boolean>, at array<int>, hash array<int>, whole array<int>, turn int, signed boolean"
 
 
 def _scan(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for body, display, email, follows in zip(frame["body"], frame["display"], frame["email"], frame["follows"]):
         if not body:
-            out.append(([], [], [], [], []))
+            out.append(([], [], [], [], [], -1, False))
             continue
-        own, plain = own_lines(body, display, email)
+        own, plain, turn, signed = own_lines(body, display, email)
         lines = body.split("\n")
         whole: list[str] = []
         of: list[int] = []
@@ -224,62 +229,124 @@ def _scan(frame: pd.DataFrame) -> pd.DataFrame:
                 of += [i] * len(w)
         s = _shingles(whole)
         at, hashes = [], []
-        starts = [k == 0 or own[k] != own[k - 1] + 1 or is_salutation(lines[own[k] - 1].strip()) for k in range(len(own))]
+        starts = [k == 0 or own[k] != own[k - 1] + 1 or own[k] == turn or is_salutation(lines[own[k] - 1].strip()) for k in range(len(own))]
         if follows and own:
             para = dict(zip(own, np.cumsum(starts).tolist()))
-            of_para = np.array([para.get(i, 0) for i in of])
+            of_para = np.array([para.get(i, 0) for i in of], np.int64)
+            runs = np.zeros(len(of), np.int32)
             if len(s):
-                first, last = of_para[s[:, 0]], of_para[s[:, 0] + SHINGLE - 1]
-                keep = (first == last) & (first > 0)  # such runs lie in one paragraph
-                at = np.array(of, np.int32)[s[keep, 0]].tolist()
-                hashes = s[keep, 1].tolist()
-        out.append((own, starts, at, hashes, s[:, 1].tolist()))
-    return pd.DataFrame(out, columns=["own", "starts", "at", "hash", "whole"])
+                inside = (of_para[: len(s)] == of_para[SHINGLE - 1 :]) & (of_para[: len(s)] > 0)  # such runs lie in one paragraph
+                runs[: len(s)][inside] = s[inside]
+            mine = of_para > 0
+            at, hashes = np.array(of, np.int32)[mine].tolist(), runs[mine].tolist()
+        out.append((own, starts, at, hashes, s.tolist(), turn, signed))
+    return pd.DataFrame(out, columns=["own", "starts", "at", "hash", "whole", "turn", "signed"])
+
+
+def _chain(runs: list[int], places: list[list[int]]) -> list[int]:
+    """The runs of a longest common subsequence: rising in the text and, with one of their places each, in the ancestor."""
+    tails: list[int] = []
+    ends: list[int] = []
+    back: list[tuple[int, int]] = []  # (run, entry before it)
+    for run, at in zip(runs, places):
+        for place in reversed(at):  # falling, so a run takes part once
+            k = bisect_left(tails, place)
+            back.append((run, ends[k - 1] if k else -1))
+            if k == len(tails):
+                tails.append(place)
+                ends.append(len(back) - 1)
+            else:
+                tails[k], ends[k] = place, len(back) - 1
+    out = []
+    k = ends[-1] if ends else -1
+    while k >= 0:
+        run, k = back[k]
+        out.append(run)
+    return out[::-1]
 
 
-def inherited_lines(own: list[int], starts: list[bool], at: np.ndarray, hashes: np.ndarray, whole: np.ndarray) -> list[int]:
+def inherited_lines(own: list[int], starts: list[bool], at: np.ndarray, hashes: np.ndarray, whole: np.ndarray, looped: bool = False) -> list[int]:
     """Those of the own lines that an ancestor, given by its hashes in order, already had.
 
-    A paragraph is inherited if at least two of its hashes and LEAST_SHARE of them lie in the
-    ancestor in order. A salutation right above it, and what has too few words to
-    tell below it, goes with it.
+    at, hashes: line of each own word and hash of the run that starts there, 0 if it leaves its paragraph. A paragraph of two
+    runs or more is inherited if LEAST_SHARE of them lie in the ancestor, in common subsequences of two or more, so passages
+    may have changed places. A salutation right above it, and what has too few words to tell below it, goes with it. Of other
+    paragraphs a line of LEAST_LINE words goes if they all lie in such a subsequence. Of two rows in a loop, each above the other, the
+    one that opens with the common text wrote it, so it keeps it.
     """
-    place = {}
+    place: dict[int, list[int]] = {}
     for k, h in enumerate(whole.tolist()):
-        place.setdefault(h, k)
+        place.setdefault(h, []).append(k)
     para = np.cumsum(starts) - 1
     line_para = dict(zip(own, para.tolist()))
     n = int(para[-1]) + 1 if len(own) else 0
-    seen, total = [[] for _ in range(n)], [0] * n
-    for line, h in zip(at.tolist(), hashes.tolist()):
-        p = line_para[line]
-        total[p] += 1
-        if h in place:
-            seen[p].append(place[h])
-    state = []
+    mine: list[list[int]] = [[] for _ in range(n)]
+    total = [0] * n
+    lines, runs = at.tolist(), hashes.tolist()
+    for k, (line, h) in enumerate(zip(lines, runs)):
+        if h:
+            p = line_para[line]
+            total[p] += 1
+            if h in place:
+                mine[p].append(k)
+    state, alone = [], set()
     for p in range(n):
-        rising, last = 0, -1
-        for k in seen[p]:
-            if k > last:
-                rising, last = rising + 1, k
-        state.append(1 if total[p] >= 2 and rising >= LEAST_SHARE * total[p] else 0 if total[p] >= 2 else -1)
-    if 1 not in state:
+        left, met = mine[p], []
+        while len(left) > 1:
+            chain = _chain(left, [place[runs[k]] for k in left])
+            if len(chain) < 2:
+                break
+            met += chain
+            used = set(chain)
+            left = [k for k in left if k not in used]
+        if total[p] < 2:
+            state.append(-1)
+        elif len(met) >= LEAST_SHARE * total[p]:
+            state.append(1)
+        else:
+            state.append(0)
+            if met:
+                covered = {k + j for k in met for j in range(SHINGLE)}
+                words: dict[int, list[int]] = {}
+                for k, line in enumerate(lines):
+                    if line_para[line] == p:
+                        words.setdefault(line, []).append(k)
+                alone |= {line for line, ks in words.items() if len(ks) >= LEAST_LINE and covered.issuperset(ks)}
+    if looped and next((x for x in state if x >= 0), 1) == 1:
         return []
     lost = [s == 1 for s in state]
-    for p in range(n):
-        if state[p] == -1 and p > 0 and lost[p - 1]:
-            lost[p] = True
-    for p in range(n - 2, -1, -1):
-        if state[p] == -1 and lost[p + 1] and p > 0:
-            lost[p] = True
-    return [line for line, p in line_para.items() if lost[p]]
+    if any(lost):
+        for p in range(n):
+            if state[p] == -1 and p > 0 and lost[p - 1]:
+                lost[p] = True
+        for p in range(n - 2, -1, -1):
+            if state[p] == -1 and lost[p + 1] and p > 0:
+                lost[p] = True
+    return [line for line, p in line_para.items() if lost[p] or line in alone]
+
+
+def ancestors(named: DataFrame) -> DataFrame:
+    """(_key, _above) of every message id and every id that it names, or that those name in turn, itself left out.
+
+    named: (_key, _above) as the rows state them. Only what a round finds anew is followed in the next, so threads whose
+    rows list all their references end after one, and loops end too.
+    """
+    known = cut(named.where("_key <> _above").distinct())
+    fresh = known
+    while True:
+        step = fresh.join(named.select(F.col("_key").alias("_above"), F.col("_above").alias("_next")).distinct(), "_above").select("_key", F.col("_next").alias("_above")).where("_key <> _above").distinct()
+        fresh = cut(step.join(known, ["_key", "_above"], "left_anti"))
+        if fresh.isEmpty():
+            return known
+        known = cut(known.unionByName(fresh))
 
 
 def new_lines(messages: DataFrame) -> DataFrame:
     """(delivery_id, line_no) of each newly written line of each row, lines counted from 0 between line feeds.
 
     A null or blank body has none. A row whose ancestors are not in the table, or that
-    names none, is judged by form alone. Several rows with one message_id are one ancestor.
+    names none, is judged by form alone: a second letter in its body is then taken for pasted history. Where all the ids that a
+    row names are there and the sender's name stands below, a second letter goes only if an ancestor has a paragraph of it. Several rows with one message_id are one ancestor.
     """
     udf = _scan_udf()
     own_key = message_key(F.col("message_id"))
@@ -294,21 +361,32 @@ def new_lines(messages: DataFrame) -> DataFrame:
     )
     scanned = cut(read.select("delivery_id", "_key", "_named", "_refs", udf("_in").alias("s")).select("delivery_id", "_key", "_named", "_refs", "s.*"))
 
-    children = scanned.where("size(hash) > 0").select("delivery_id", F.explode("_refs").alias("_key"), "own", "starts", "at", "hash")
-    ancestors = scanned.where("_named and size(whole) > 0").groupBy("_key").agg(F.max("whole").alias("whole"))
-    pairs = children.join(ancestors, "_key").where(F.arrays_overlap("hash", "whole")).select("delivery_id", "own", "starts", "at", "hash", "whole")
+    above = ancestors(scanned.where("_named").select("_key", F.explode("_refs").alias("_above")))
+    looped = above.join(above.select(F.col("_above").alias("_key"), F.col("_key").alias("_above")), ["_key", "_above"], "left_semi").select(F.col("_key").alias("_own"), F.col("_above").alias("_key"), F.lit(True).alias("looped"))
+    stated = scanned.where("size(hash) > 0").select("delivery_id", F.when(F.col("_named"), F.col("_key")).alias("_own"), F.explode("_refs").alias("_key"))
+    wanted = stated.unionByName(stated.join(above, "_key").select("delivery_id", "_own", F.col("_above").alias("_key"))).distinct().join(looped, ["_own", "_key"], "left").select("delivery_id", "_key", F.coalesce("looped", F.lit(False)).alias("looped"))
+    held = scanned.where("_named and size(whole) > 0").groupBy("_key").agg(F.max("whole").alias("whole"))
+    children = scanned.where("size(hash) > 0").select("delivery_id", F.col("_key").alias("_own"), "_named", "own", "starts", "at", "hash")
+    pairs = wanted.join(held.select("_key"), "_key", "left_semi").join(children, "delivery_id").where("not (_named and _own = _key)").join(held, "_key")
+    pairs = pairs.where(F.arrays_overlap("hash", "whole")).select("delivery_id", "own", "starts", "at", "hash", "whole", "looped")
 
     def compare(parts):
         for p in parts:
             who, lines = [], []
-            for key, own, starts, at, h, whole in zip(p["delivery_id"], p["own"], p["starts"], p["at"], p["hash"], p["whole"]):
-                gone = inherited_lines(own.tolist(), starts.tolist(), at, h, whole)
+            for key, own, starts, at, h, whole, looped in zip(p["delivery_id"], p["own"], p["starts"], p["at"], p["hash"], p["whole"], p["looped"]):
+                gone = inherited_lines(own.tolist(), starts.tolist(), at, h, whole, looped)
                 who += [key] * len(gone)
                 lines += gone
             yield pd.DataFrame({"delivery_id": np.array(who, np.int64), "line_no": np.array(lines, np.int64)})
 
-    gone = pairs.mapInPandas(compare, "delivery_id bigint, line_no bigint")
+    gone = cut(pairs.mapInPandas(compare, "delivery_id bigint, line_no bigint").distinct())
+    # second letters: by comparison where the sender signs below and all ancestors that the row names are there, else by their form
+    twice = scanned.where("turn >= 0").select("delivery_id", "turn", "_refs", "signed")
+    missing = twice.select("delivery_id", F.explode_outer("_refs").alias("_key")).join(scanned.where("_named").select("_key").distinct(), "_key", "left_anti").select("delivery_id")
+    found = twice.join(gone, "delivery_id").where("line_no >= turn").select("delivery_id")
+    pasted = twice.join(missing.unionByName(found).unionByName(twice.where("not signed").select("delivery_id")).distinct(), "delivery_id").select("delivery_id", "turn")
     written = scanned.select("delivery_id", F.explode("own").alias("line_no")).select("delivery_id", F.col("line_no").cast("long").alias("line_no"))
+    written = written.join(pasted, "delivery_id", "left").where("turn is null or line_no < turn").drop("turn")
     return written.join(gone, ["delivery_id", "line_no"], "left_anti").distinct()
 
 

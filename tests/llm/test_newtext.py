@@ -1,3 +1,6 @@
+import random
+
+from quaystone.llm import newtext
 from quaystone.llm.newtext import new_lines, own_lines
 
 SCHEMA = "delivery_id long, message_id string, in_reply_to string, ref_ids array<string>, sender struct<display_name:string,email:string>, body_text string, own string, _key string"
@@ -49,3 +52,72 @@ def test_empty_table_and_long_body(spark):
     assert new_lines(spark.createDataFrame([], SCHEMA)).count() == 0
     body = "\n".join(f"line {i} of a very long mail" for i in range(60_000))
     assert new_lines(spark.createDataFrame([(1, "a@h", None, None, None, body, None, None)], SCHEMA)).count() == 60_000
+
+
+def _lines_new(spark, rows):
+    got = {}
+    for r in new_lines(spark.createDataFrame(rows, SCHEMA)).collect():
+        got.setdefault(r.delivery_id, set()).add(r.line_no)
+    return got
+
+
+def test_inherited_paragraphs_of_any_length_from_six_words(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows, want = [], {}
+    for n in (6, 7, 8, 10, 16, 40):
+        old = [" ".join(word() for _ in range(n)) for _ in range(4)]
+        rows.append((n * 10, f"a{n}@h", None, None, None, "\n\n".join(old), None, None))
+        new = " ".join(word() for _ in range(9))
+        rows.append((n * 10 + 1, f"b{n}@h", f"a{n}@h", None, None, "\n\n".join([new, *old]), None, None))
+        rows.append((n * 10 + 2, f"c{n}@h", f"b{n}@h", None, None, "\n\n".join([" ".join(word() for _ in range(9)), old[2], old[0]]), None, None))  # its grandparent's, in another order
+        want |= {n * 10: {0, 2, 4, 6}, n * 10 + 1: {0}, n * 10 + 2: {0}}
+    assert _lines_new(spark, rows) == want
+
+
+def test_changed_places_and_glued_lines(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "red green blue white black brown pink grey gold silver beige violet"
+    rows = [
+        (1, "a@h", None, None, None, f"{a}\n{b}", None, None),
+        (2, "b@h", "a@h", None, None, f"{b}\n{a}", None, None),  # one paragraph, its passages swapped
+        (3, "c@h", "a@h", None, None, f"we have never written anything like these words before today ourselves\n{a}\nand this is what we make of it ourselves for now", None, None),
+    ]
+    assert _lines_new(spark, rows) == {1: {0, 1}, 3: {0, 2}}
+
+
+def test_a_second_letter_is_judged_by_its_ancestors(spark):
+    second = "Tom,\nplease note that the lease was signed by all parties last week"
+    body = f"Hi Anna,\n\nour first part has quite a few words of its own here\n\nHi {second}\n\nRegards\nAnn Thorquist"
+    rows = [
+        (1, "a@h", None, None, None, "an unrelated earlier mail with words of its own kind", None, None),
+        (2, "b@h", "a@h", None, ANN, body, None, None),  # the ancestor is there and has none of it: two people greeted
+        (3, "c@h", "lost@h", None, ANN, body, None, None),  # the ancestor is missing
+        (4, "d@h", None, None, None, f"Hi {second}", None, None),
+        (5, "e@h", "d@h", None, ANN, body, None, None),  # pasted
+    ]
+    assert _lines_new(spark, rows) == {1: {0}, 2: {0, 2, 4, 5}, 3: {0, 2}, 4: {0, 1}, 5: {0, 2}}
+
+
+def test_ancestors_of_ancestors_and_loops(spark):
+    rows = [(1, 2), (2, 3), (3, 4), (4, 2), (9, 9)]
+    got = {(r._key, r._above) for r in newtext.ancestors(spark.createDataFrame(rows, "_key long, _above long")).collect()}
+    assert got == {(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (3, 2), (4, 2), (4, 3)}
+
+
+def test_chain_is_a_longest_common_subsequence():
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = [rng.randrange(6) for _ in range(rng.randrange(12))], [rng.randrange(6) for _ in range(rng.randrange(12))]
+        met = [k for k in range(len(a)) if a[k] in b]
+        chain = newtext._chain(met, [[j for j, y in enumerate(b) if y == a[k]] for k in met])
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        assert len(chain) == table[-1][-1] and chain == sorted(set(chain))
+
+
+def test_in_a_loop_the_row_that_opens_with_a_text_wrote_it(spark):
+    old, new = "one two three four five six seven eight nine ten", "red green blue white black brown pink grey gold silver"
+    rows = [(1, "a@h", "b@h", None, None, old, None, None), (2, "b@h", "a@h", None, None, f"{new}\n\n{old}", None, None)]
+    assert _lines_new(spark, rows) == {1: {0}, 2: {0}}
