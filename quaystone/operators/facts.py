@@ -8,7 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The forms of dates, amounts, standards, signatures and drafts that count as facts.
+from quaystone.operators.ranking import spread_row_number
+
+# The forms of dates, amounts, standards, signatures, drafts, putting off and open matters that count as facts.
 MONTH = "January|February|March|April|May|June|July|August|September|October|November|December"
 ISO_DATE = r"\b(\d{4}-\d{2}-\d{2})\b"
 LONG_DATE = rf"(?i)\b((?:{MONTH})\.?\s+\d{{1,2}},?\s+\d{{4}})\b"
@@ -18,6 +20,13 @@ STANDARD = r"(?i)\bASC\s?(606|842|8\d\d|\d{3})\b"
 SIGNED = r"(?i)(/s/|signed\s*:|signature\s*:|\bby\s*:\s*[A-Z][a-z]+|sincerely,|authorized\s+signature|\bexecuted\s+by\b)"
 DRAFT = r"(?i)\bDRAFT\b|\bnot\s+for\s+(?:execution|signature)\b|\bto\s+be\s+signed\b|\bto\s+be\s+finalized\b|\[\s*signature\s*\]|\bunsigned\b"
 REQUEST = r"(?i)pbc[-\s]?(\d{1,2})"
+RESCHEDULED = r"(?i)(expect|by|instead of).{0,40}?(pbc[-\s]?\d+)?.{0,40}?(next\s+\w+|\b\w+day\b|\d{4}-\d{2}-\d{2}|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)\w*\s+\d{1,2})"
+DAY_PHRASE = rf"(?i)(\d{{4}}-\d{{2}}-\d{{2}}|(?:{MONTH})\s+\d{{1,2}})"
+OPEN_PHRASES = (
+    "still outstanding", "remains outstanding", "under investigation", "still investigating", "still pending", "not counter-signed", "to be signed",
+    "awaiting", "yet to be", "resolution when done", "still chas", "not yet been received", "not yet provided", "still need",
+)
+RESOLVED_PHRASES = ("immaterial", "fully explained", "explained by", "resolved", "no exception")
 LEGAL_END = r"(?i),?\s+(?:inc|llc|l\.l\.c|corp|co)\.?$"
 
 
@@ -59,16 +68,22 @@ def aliases(name: Column) -> Column:
     return F.array_distinct(F.filter(F.array(full, F.trim(F.regexp_replace(full, LEGAL_END, ""))), lambda a: F.length(a) > 0))
 
 
+#: Entities of one scope that are held against a text at once.
+BLOCK = 256
+
+
 def entity_mentions(texts: DataFrame, entities: DataFrame, scope: str, key: str, text: str) -> DataFrame:
-    """(key, entity_id) of the entities of a text's own scope that it names.
+    """(key, entity_id, alias) of the entities of a text's own scope that it names, with the longest of the names it uses.
 
-    Entities are gathered by scope, so each text is looked at once with the entities of its scope only.
+    Entities are gathered by scope in blocks of BLOCK, so a text is looked at once for each block of its scope and no scope is
+    ever gathered whole. Null scopes, texts and names meet nothing.
     """
-    held = entities.select(scope, F.struct("entity_id", aliases(F.col("entity_name")).alias("names")).alias("e")).groupBy(scope).agg(F.collect_list("e").alias("es"))
+    named = spread_row_number(entities.where(F.col("entity_name").isNotNull() & F.col(scope).isNotNull()).select(scope, "entity_id", aliases(F.col("entity_name")).alias("names")), [scope], [F.col("entity_id")], "_n")
+    held = named.groupBy(scope, F.floor((F.col("_n") - 1) / BLOCK).alias("_block")).agg(F.collect_list(F.struct("entity_id", F.array_sort("names", lambda a, b: F.length(b) - F.length(a)).alias("names"))).alias("es")).drop("_block")
     low = F.lower(F.col(text))
-    hits = F.filter("es", lambda e: F.exists(e["names"], lambda n: F.contains(F.col("_low"), n)))
-    met = texts.select(scope, key, low.alias("_low")).join(held, scope)
-    return met.select(key, F.explode(hits).alias("e")).select(key, F.col("e.entity_id").alias("entity_id"))
+    hits = F.filter(F.transform("es", lambda e: F.struct(e["entity_id"].alias("entity_id"), F.get(F.filter(e["names"], lambda n: F.contains(F.col("_low"), n)), 0).alias("alias"))), lambda x: x["alias"].isNotNull())
+    met = texts.where(F.col(text).isNotNull()).select(scope, key, low.alias("_low")).join(held, scope)
+    return met.select(key, F.explode(hits).alias("e")).select(key, "e.entity_id", "e.alias")
 
 
 def sentences(text: Column) -> Column:
@@ -87,9 +102,36 @@ def filename_years(name: Column) -> Column:
     return F.array_sort(F.array_union(plain, fiscal))
 
 
-def claimed_count(text: Column, noun: str) -> Column:
+def claimed_count(text: Column, noun: Column | str) -> Column:
     """Largest number that a text claims of a noun or of a sample."""
-    return F.array_max(F.transform(F.concat(_all(F.lower(text), rf"(\d+)\s+{noun}s?\b"), _all(F.lower(text), r"(?:sample of|top)\s+(\d+)")), lambda n: n.try_cast("long")))
+    noun = F.lit(noun) if isinstance(noun, str) else noun
+    of_noun = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.concat(F.lit(r"(\d+)\s+"), noun, F.lit(r"s?\b")), F.lit(1))
+    return F.array_max(F.transform(F.concat(of_noun, _all(F.lower(text), r"(?:sample of|top)\s+(\d+)")), lambda n: n.try_cast("long")))
+
+
+def loose_date(text: Column, year: Column) -> Column:
+    """The day that a phrase names: ISO anywhere in it, else a month with a day, of the given year; null if it is impossible."""
+    iso = F.regexp_extract(text, ISO_DATE.replace(r"\b", ""), 1)
+    month = F.regexp_extract(text, rf"(?i)({MONTH})\s+(\d{{1,2}})", 1)
+    day = F.regexp_extract(text, rf"(?i)({MONTH})\s+(\d{{1,2}})", 2)
+    return F.when(iso != "", F.try_to_date(iso, "yyyy-MM-dd")).when(month != "", F.try_to_date(F.concat_ws(" ", F.initcap(month), day, year.cast("string")), "MMMM d yyyy"))
+
+
+def reschedules(texts: DataFrame, key: str, text: str, year: str) -> DataFrame:
+    """(key, request, expected_by) of texts that put off a request to a named day; year: the column whose year a day without one means."""
+    cell = F.coalesce(F.col(text), F.lit(""))
+    told = texts.where(cell.rlike(RESCHEDULED) & cell.rlike(REQUEST) & cell.rlike(DAY_PHRASE))
+    request = F.concat(F.lit("PBC-"), F.lpad(F.regexp_extract(cell, REQUEST, 1).cast("int").cast("string"), 2, "0"))
+    return told.select(key, request.alias("request"), loose_date(F.regexp_extract(cell, DAY_PHRASE, 1), F.col(year)).alias("expected_by"))
+
+
+def caveats(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, ord, request, sentence) of sentences that call something open and nothing resolved, with the request they name or null."""
+    s = texts.select(key, F.posexplode(sentences(F.col(text))).alias("ord", "sentence"))
+    low = F.lower("sentence")
+    said = lambda phrases: F.exists(F.array(*[F.lit(p) for p in phrases]), lambda p: F.contains(low, p))
+    number = F.regexp_extract("sentence", REQUEST, 1)
+    return s.where(said(OPEN_PHRASES) & ~said(RESOLVED_PHRASES)).select(key, F.col("ord").cast("long").alias("ord"), F.when(number != "", F.concat(F.lit("PBC-"), F.lpad(number.cast("int").cast("string"), 2, "0"))).alias("request"), F.trim("sentence").alias("sentence"))
 
 
 def has_phrase(text: Column, phrase: Column) -> Column:

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Parameters of BM25, and shorthands with what they stand for.
+# Parameters of BM25, what a named item gains, the score from which a document belongs to an item, and shorthands with what they stand for.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+PRIOR_SHARE, PRIOR = 0.25, 0.5
+LEAST_SCORE = 1.5
 SHORTHANDS = {
     "tb": "trial balance", "ap": "accounts payable", "ar": "accounts receivable", "far": "fixed asset register", "fa": "fixed asset", "recs": "reconciliations",
     "recon": "reconciliation", "ye": "year end", "op": "operating", "mmkt": "money market", "distr": "distribution", "conf": "confirmation",
@@ -24,17 +25,30 @@ SHORTHANDS = {
 #: Cells of the word-by-item matrix that a task holds at most; more items are matched by a join on words.
 MATRIX_CELLS = 20_000_000
 
-_TOKEN = re.compile(r"[a-z0-9]+")
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def tokens(text: str | None, expand: bool = False) -> list[str]:
-    out = _TOKEN.findall((text or "").lower())
-    return out + [w for t in out if t in SHORTHANDS for w in SHORTHANDS[t].split()] if expand else out
+def expanded(words: Column) -> Column:
+    """Words with what the shorthands among them stand for appended, once for each time they occur."""
+    table = F.create_map(*[x for k, v in SHORTHANDS.items() for x in (F.lit(k), F.array(*[F.lit(w) for w in v.split()]))])
+    return F.concat(words, F.flatten(F.transform(words, lambda w: F.coalesce(F.try_element_at(table, w), F.array().cast("array<string>")))))
 
 
-def _weights(items: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray]:
+def evidence_tokens(filename: Column, context: Column | None = None, standards: Column | None = None) -> Column:
+    """The query of a document: its file name with shorthands written out, three times, then its context and standards."""
+    name = expanded(tokens(filename))
+    parts = [name, name, name]
+    if context is not None:
+        parts.append(tokens(context))
+    if standards is not None:
+        parts.append(tokens(F.array_join(standards, " ")))
+    return F.concat(*parts)
+
+
+def _weights(items: list[tuple[int, list[str]]]) -> tuple[dict[str, int], np.ndarray]:
     """Numbers of the words, and for each word its score in each item."""
-    bags = [Counter(tokens(t)) for _, t in items]
+    bags = [Counter(t) for _, t in items]
     sizes = np.array([sum(b.values()) for b in bags], float)
     df = Counter(w for b in bags for w in b)
     idf = {w: math.log(len(bags) - n + 0.5) - math.log(n + 0.5) for w, n in df.items()}
@@ -48,50 +62,89 @@ def _weights(items: list[tuple[int, str]]) -> tuple[dict[str, int], np.ndarray]:
     return words, out
 
 
-def best_items(texts: DataFrame, items: DataFrame, key: str, text: str, k: int, expand: bool = False, cells: int = MATRIX_CELLS) -> DataFrame:
-    """(key, item_id, rank, score): the k best items of each text whose score is positive, ties to the smaller item_id.
+def best_items(queries: DataFrame, items: DataFrame, key: str, k: int, cells: int = MATRIX_CELLS) -> DataFrame:
+    """(key, item_id, rank, score): the k best items of each query, less those whose score isn't positive, ties to the smaller item_id.
 
-    Few items: their word scores go to every task and texts are scored where they lie. Many: a join on words.
+    queries: key, tokens, and if wanted refs, ids of items that the query names, each of which adds a quarter of the best score and a
+    half, in order, and allowed, ids to choose among unless none of them is an item. items: item_id, tokens. Few items: their word
+    scores go to every task and queries are scored where they lie. Many: a join on words. Both give the same.
     """
-    n_items = items.count()
-    size = items.select(F.sum(F.length("text"))).first()[0] or 0
-    if n_items * max(1, size // 5) <= cells:
-        held = sorted((r.item_id, r.text) for r in items.select("item_id", "text").collect())
-        sent = texts.sparkSession.sparkContext.broadcast(held)
-
-        def score(parts):
-            ids = np.array([i for i, _ in sent.value], np.int64)
-            words, weight = _weights(sent.value)
-            for p in parts:
-                who, what, place, value = [], [], [], []
-                for doc, t in zip(p[key], p[text]):
-                    rows = [words[w] for w in tokens(t, expand) if w in words]
-                    if not rows:
-                        continue
-                    s = np.round(weight[rows].sum(axis=0), 6)
-                    for r, i in enumerate(np.lexsort((ids, -s))[:k], 1):
-                        if s[i] > 0:
-                            who.append(doc)
-                            what.append(ids[i])
-                            place.append(r)
-                            value.append(s[i])
-                yield pd.DataFrame({key: np.array(who, np.int64), "item_id": np.array(what, np.int64), "rank": np.array(place, np.int64), "score": np.array(value, float)})
-
-        return texts.select(F.col(key).cast("long").alias(key), text).mapInPandas(score, f"{key} bigint, item_id bigint, rank bigint, score double")
-    return _by_words(texts, items, key, text, k)
-
-
-def _by_words(texts: DataFrame, items: DataFrame, key: str, text: str, k: int) -> DataFrame:
-    split = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    bags = items.select("item_id", F.explode(split(F.col("text"))).alias("w"))
+    for c in ("refs", "allowed"):
+        if c not in queries.columns:
+            queries = queries.withColumn(c, F.array().cast("array<bigint>"))
+    queries = queries.select(F.col(key).cast("long").alias(key), "tokens", F.coalesce("refs", F.array().cast("array<bigint>")).alias("refs"), F.coalesce("allowed", F.array().cast("array<bigint>")).alias("allowed"))
+    items = items.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), "tokens")
+    n_items, n_words = items.agg(F.count("*"), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+    if n_items * max(1, n_words) <= cells:
+        return _by_matrix(queries, items, key, k)
+    return _by_words(queries, items, key, k)
+
+
+def _by_matrix(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
+    held = sorted((r.item_id, r.tokens) for r in items.collect())
+    sent = queries.sparkSession.sparkContext.broadcast(held)
+
+    def score(parts):
+        ids = np.array([i for i, _ in sent.value], np.int64)
+        place = {i: n for n, i in enumerate(ids.tolist())}
+        words, weight = _weights(sent.value)
+        for p in parts:
+            out = []
+            for doc, found, refs, allowed in zip(p[key], p["tokens"], p["refs"], p["allowed"]):
+                rows = [words[w] for w in found if w in words]
+                s = np.round(weight[rows].sum(axis=0), 6) if rows else np.zeros(len(ids))
+                for r in refs:
+                    if r in place:
+                        s[place[r]] = np.round(s[place[r]] + s.max() * PRIOR_SHARE + PRIOR, 6)
+                among = [place[a] for a in set(allowed) if a in place]
+                if among:
+                    only = np.full(len(ids), -np.inf)
+                    only[among] = s[among]
+                    s = only
+                out += [(doc, ids[i], n, s[i]) for n, i in enumerate(np.lexsort((ids, -s))[:k], 1) if s[i] > 0]
+            yield pd.DataFrame(out, columns=[key, "item_id", "rank", "score"]).astype({key: "int64", "item_id": "int64", "rank": "int64", "score": "float64"})
+
+    return queries.mapInPandas(score, f"{key} bigint, item_id bigint, rank bigint, score double")
+
+
+def _by_words(queries: DataFrame, items: DataFrame, key: str, k: int) -> DataFrame:
+    bags = items.select("item_id", F.explode("tokens").alias("w"))
     tf = bags.groupBy("item_id", "w").agg(F.count("*").alias("n"))
     size = bags.groupBy("item_id").agg(F.count("*").alias("size"))
-    n_items, mean = items.count(), size.agg(F.avg("size")).first()[0] or 1.0
-    n_empty = n_items - size.count()
-    mean = mean * (n_items - n_empty) / max(1, n_items)
+    n_items, mean = items.count(), size.agg(F.sum("size")).first()[0] or 0
+    mean = max(mean / max(1, n_items), 1e-9)
     idf = tf.groupBy("w").agg((F.log(n_items - F.count("*") + 0.5) - F.log(F.count("*") + 0.5)).alias("idf"))
     floor = EPSILON * (idf.agg(F.avg("idf")).first()[0] or 0.0)
     weight = tf.join(idf, "w").join(size, "item_id").select("w", "item_id", (F.when(F.col("idf") >= 0, F.col("idf")).otherwise(floor) * F.col("n") * (K1 + 1) / (F.col("n") + K1 * (1 - B + B * F.col("size") / mean))).alias("s"))
-    scored = texts.select(F.col(key).cast("long").alias(key), F.explode(split(F.col(text))).alias("w")).join(weight, "w").groupBy(key, "item_id").agg(F.round(F.sum("s"), 6).alias("score"))
+    counted = queries.select(key, F.explode("tokens").alias("w")).groupBy(key, "w").agg(F.count("*").alias("_k"))
+    scored = counted.join(weight, "w").groupBy(key, "item_id").agg(F.round(F.sum(F.col("_k") * F.col("s")), 6).alias("score"))
+    named = queries.where("size(refs) > 0").select(key, F.posexplode("refs").alias("pos", "item_id")).join(items.select("item_id"), "item_id", "left_semi")
+    base = named.join(scored, [key, "item_id"], "left").join(scored.groupBy(key).agg(F.max("score").alias("_top")), key, "left")
+    # as many entries as the query names items
+    lists = base.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "item_id", F.coalesce("score", F.lit(0.0)).alias("score")))).alias("_named"), F.first(F.coalesce("_top", F.lit(0.0))).alias("_top"))
+
+    @F.pandas_udf("array<struct<item_id:bigint,score:double>>")
+    def raised(named: pd.Series, top: pd.Series) -> pd.Series:
+        out = []
+        for ns, best in zip(named, top):
+            s = {n["item_id"]: n["score"] for n in ns}
+            for n in ns:
+                i = n["item_id"]
+                s[i] = round(s[i] + max(best, *s.values()) * PRIOR_SHARE + PRIOR, 6)
+            out.append([{"item_id": i, "score": x} for i, x in s.items()])
+        return pd.Series(out)
+
+    lifted = lists.select(key, F.explode(raised("_named", "_top")).alias("r")).select(key, "r.*")
+    scored = scored.join(lifted.select(key, "item_id"), [key, "item_id"], "left_anti").unionByName(lifted)
+    among = queries.where("size(allowed) > 0").select(key, F.explode(F.array_distinct("allowed")).alias("item_id")).join(items.select("item_id"), "item_id", "left_semi")
+    bound = among.select(key).distinct().withColumn("_bound", F.lit(True))
+    scored = scored.join(bound, key, "left").join(among.withColumn("_in", F.lit(True)), [key, "item_id"], "left").where("_bound is null or _in")
     w = Window.partitionBy(key).orderBy(F.col("score").desc(), F.col("item_id"))
     return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(f"rank <= {k} and score > 0").select(key, "item_id", "rank", "score")
+
+
+def overlap(queries: DataFrame, items: DataFrame, key: str) -> DataFrame:
+    """(key, item_id, score): share of a query's tokens, repeats included, that an item has; pairs without one are absent."""
+    has = items.select("item_id", F.explode(F.array_distinct("tokens")).alias("w"))
+    asked = queries.where("size(tokens) > 0").select(key, F.size("tokens").alias("_n"), F.explode("tokens").alias("w")).groupBy(key, "_n", "w").agg(F.count("*").alias("_k"))
+    return asked.join(has, "w").groupBy(key, "_n", "item_id").agg(F.sum("_k").alias("_hit")).select(key, "item_id", F.round(F.col("_hit") / F.col("_n"), 6).alias("score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quaystone.functions.mailids import message_key, message_keys
 from quaystone.operators.graph import components
+from quaystone.operators.ranking import spread_row_number
 
 
 def plain_subject(subject: Column) -> Column:
@@ -33,7 +34,17 @@ def threads(messages: DataFrame) -> DataFrame:
 
 def thread_order(messages: DataFrame, thread: DataFrame, at: str) -> DataFrame:
     """Rows of messages with thread_key and their place in it: by time, nulls last, then by delivery_id."""
-    from quaystone.operators.ranking import spread_row_number
-
     joined = messages.join(thread, "delivery_id")
     return spread_row_number(joined, ["thread_key"], [F.col(at).asc_nulls_last(), F.col("delivery_id")], "place")
+
+
+def thread_ids(messages: DataFrame, thread: DataFrame) -> DataFrame:
+    """(thread_key, thread_id): the one `threadN` that the paths of a thread's mails name, else thread and its number by thread_key.
+
+    A thread whose paths name none or several takes its number, with two digits at least, which may be that of a hint.
+    """
+    hint = F.lower(F.regexp_extract(F.coalesce("source_path", F.lit("")), r"(?i)(thread\d+)", 1))
+    told = thread.join(messages.select("delivery_id", F.when(hint != "", hint).alias("hint")), "delivery_id").groupBy("thread_key").agg(F.min("hint").alias("lo"), F.max("hint").alias("hi"))
+    numbered = spread_row_number(told.withColumn("_all", F.lit(0)), ["_all"], [F.col("thread_key")], "n")
+    number = F.col("n").cast("string")
+    return numbered.select("thread_key", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.concat(F.lit("thread"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))).alias("thread_id"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quaystone.operators.ranking import spread_row_number
+
 # Words that mark a version and words that claim a final one.
 VERSION_WORDS = r"(?i)\b(v\d+|version\s*\d+|final|real|draft|copy|updated|revised|rev\d*|clean)\b"
 FINAL_WORDS = r"(?i)(signed|executed|final|approved)"
@@ -24,15 +26,18 @@ def version_rank(name: Column) -> Column:
 
 
 def version_groups(files: DataFrame) -> DataFrame:
-    """(version_key, latest_filename, latest_doc_id, n_versions, superseded) over distinct (doc_id, filename).
+    """(version_key, doc_id, filename, version_no, n_versions, is_latest) of each distinct (doc_id, filename), from oldest to latest.
 
-    The latest is the highest in rank, then in name, then in doc_id; superseded names come oldest first. A group
-    is what one name goes by, so it is gathered whole, its names only.
+    The latest is the highest in rank, then in name, then in doc_id; what comes before it is superseded. A name of which no
+    letter or digit stays when version words go is a version of nothing else, so such files are not pooled. Groups are numbered in spread
+    partitions and never gathered.
     """
-    ranked = files.select("doc_id", "filename").distinct().withColumns({"version_key": base_key(F.col("filename")), "_r": F.struct(version_rank(F.col("filename")).alias("r"), F.col("filename").alias("f"), F.col("doc_id").alias("d"))})
-    grouped = ranked.groupBy("version_key").agg(F.max("_r").alias("top"), F.count("*").alias("n_versions"), F.array_sort(F.collect_list("_r")).alias("all"))
-    names = F.transform(F.slice("all", F.lit(1), F.greatest(F.size("all") - 1, F.lit(0))), lambda x: x["f"])
-    return grouped.select("version_key", F.col("top.f").alias("latest_filename"), F.col("top.d").alias("latest_doc_id"), "n_versions", F.array_join(names, " < ").alias("superseded"))
+    rank = version_rank(F.col("filename"))
+    ranked = files.where("filename is not null").select("doc_id", "filename").distinct()
+    ranked = ranked.withColumns({"version_key": F.when(base_key(F.col("filename")) != "", base_key(F.col("filename"))).otherwise(F.concat_ws("|", F.lit(""), "filename", "doc_id")), "_level": rank["level"], "_number": rank["number"]})
+    numbered = spread_row_number(ranked, ["version_key"], [F.col(c) for c in ("_level", "_number", "filename", "doc_id")], "version_no")
+    n = ranked.groupBy("version_key").agg(F.count("*").alias("n_versions"))
+    return numbered.join(n, "version_key").select("version_key", "doc_id", "filename", F.col("version_no").cast("long").alias("version_no"), "n_versions", (F.col("version_no") == F.col("n_versions")).alias("is_latest"))
 
 
 def first_seen(occurrences: DataFrame) -> DataFrame:

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaystone.operators import criteria, facts, gate, matching, threads, versions
+from quaystone.operators import facts, gate, matching, threads, versions
 from quaystone.operators.ranking import spread_last, spread_row_number
 from quaystone.session import table
-from quaystone.sources import requests
 
 _MONTHS = facts.MONTH
 
@@ -51,8 +50,9 @@ def container_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ordered_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct documents that each mail brought, in the order in which they first came."""
     first = table(spark, d, "occurrences").where("message_source is not null").groupBy("message_source", "doc_id").agg(F.min("occ_id").alias("o"))
-    return first.groupBy("message_source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "doc_id"))), lambda x: x["doc_id"]), ",").alias("doc_ids"))
+    return spread_row_number(first, ["message_source"], [F.col("o"), F.col("doc_id")], "place").select("message_source", "doc_id", F.col("place").cast("long").alias("place"))
 
 
 def fact_dates(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +105,8 @@ def gate_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25_best(spark: SparkSession, d: str) -> DataFrame:
-    return matching.best_items(table(spark, d, "documents"), table(spark, d, "eval_items"), "doc_id", "text", 3)
+    asked = table(spark, d, "documents").select("doc_id", matching.tokens(F.col("text")).alias("tokens"))
+    return matching.best_items(asked, table(spark, d, "eval_items").select("item_id", matching.tokens(F.col("text")).alias("tokens")), "doc_id", 3)
 
 
 def version_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -140,24 +141,6 @@ def check_period(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("engagement_id").agg(F.count_if(inside).alias("n_inside"), F.count_if(F.col("v") < F.col("fy_start")).alias("n_before"), F.bool_or(F.col("v") == F.col("fiscal_year_end")).alias("exact"))
 
 
-_CLAUSES = "period=FY2026, standard=ASC 606, must_include=[bank reconciliation], reconciles_to_gl=true, horizon_months=12, sample_size=30, signed=true, threshold_usd=5000"
-
-
-def criteria_parsed(spark: SparkSession, d: str) -> DataFrame:
-    """The clauses of every item that documents refer to, read from text."""
-    items = table(spark, d, "documents").select(F.col("item_ref").alias("item_id")).where("item_id is not null").distinct().withColumn("acceptance", F.lit(_CLAUSES))
-    return requests.criteria(items).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "kind", "raw")
-
-
-def criteria_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    """Those clauses held against the documents that refer to the item."""
-    docs = table(spark, d, "documents").select(F.col("item_ref").alias("item_id"), "doc_id", "text").where("item_id is not null")
-    items = docs.select("item_id").distinct().withColumn("acceptance", F.lit(_CLAUSES))
-    years = spark.sql("SELECT DATE '2025-07-01' AS fy_start, DATE '2026-06-30' AS fy_end")
-    nobody = spark.createDataFrame([], "entity_name string, is_parent boolean")
-    return criteria.evaluate(requests.criteria(items), docs, years, nobody).select("item_id", F.col("ordinal").cast("long").alias("ordinal"), "kind", "outcome")
-
-
 def agg_dense_states(spark: SparkSession, d: str) -> DataFrame:
     dim = spark.createDataFrame([("visible",), ("hidden",), ("veryHidden",), ("unknown",)], "sheet_state string")
     n = table(spark, d, "sheets").groupBy("sheet_state").agg(F.count("*").alias("k"))
@@ -210,6 +193,13 @@ def set_operations(spark: SparkSession, d: str) -> DataFrame:
     return tag(book.intersect(sent), "writes").unionByName(tag(book.intersect(got.subtract(sent)), "receives")).unionByName(tag(book.subtract(sent.union(got)), "silent"))
 
 
+def file_types(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct documents by the type that their first name tells."""
+    low = F.lower(F.coalesce(F.col("filename"), F.lit("")))
+    kind = F.when(low.rlike(r"\.xls[xm]$"), "xlsx").when(low.endswith(".pdf"), "pdf").when(low.rlike(r"\.(jpe?g|png)$"), "image").when(low.endswith(".zip"), "archive").when(low.rlike(r"\.(txt|csv)$"), "text").otherwise("unknown")
+    return versions.first_seen(table(spark, d, "occurrences")).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.sum("n_occurrences").alias("n_occurrences"))
+
+
 def join_documents_of_mail(spark: SparkSession, d: str) -> DataFrame:
     """Mail with its attachments: exploded ids, semi-joined to those that exist, counted with an outer default."""
     m = table(spark, d, "messages").select("delivery_id", F.explode_outer("document_ids").alias("doc_id"))
@@ -249,11 +239,12 @@ QUERIES = {
     for f in (
         thread_subjects, thread_components, thread_sizes, dedup_first_seen, dedup_reused, container_chains, container_counts, ordered_documents, fact_dates, fact_amounts, fact_standards, fact_signatures,
         fact_entities, fact_sentences, fact_requests, fact_filename_years, fact_places, gate_findings, gate_redacted, gate_summary, bm25_best, version_groups, anomaly_final_draft, anomaly_stale_period, check_entities,
-        check_period, criteria_parsed, criteria_outcomes, agg_dense_states, agg_histogram, agg_cube, agg_confusion, window_running_budget, window_last_write, window_fill_forward, window_row_numbers, set_operations, join_documents_of_mail, join_discovered,
+        check_period, agg_dense_states, agg_histogram, agg_cube, agg_confusion, window_running_budget, window_last_write, window_fill_forward, window_row_numbers, set_operations, file_types, join_documents_of_mail, join_discovered,
         report_json, olap_pricing, olap_nation_revenue,
     )
 }
 
+_PATH = r"""regexp_replace(regexp_replace(regexp_replace(replace(trim({}), '\', '/'), '/{{2,}}', '/', 'g'), '/(\./)+', '/', 'g'), '^(\./)+', '')"""
 _PLAIN = r"trim(lower(regexp_replace(coalesce(subject, ''), '(?i)^(\s*(re|fw|fwd)\s*:\s*)+', '')))"
 _ID = r"""regexp_replace({0}, '^[\s\x{{A0}}<]+|[\s\x{{A0}}>]+$', '', 'g')"""
 _FOLD = "CASE WHEN {0} = '' THEN NULL WHEN contains({0}, '@') THEN regexp_extract({0}, '^(.*@)([^@]*)$', 1) || lower(regexp_extract({0}, '^(.*@)([^@]*)$', 2)) ELSE {0} END"
@@ -278,7 +269,7 @@ _DRAFT = facts.DRAFT.replace("(?i)", "")
 _ALIASES = r"list_distinct([lower(trim(entity_name)), trim(regexp_replace(lower(trim(entity_name)), '(?i),?\s+(?:inc|llc|l\.l\.c|corp|co)\.?$', ''))])"
 _MENTIONS = f"""
 e AS (SELECT engagement_id, entity_id, unnest({_ALIASES}) AS a FROM entities WHERE entity_name IS NOT NULL),
-mention AS (SELECT DISTINCT m.delivery_id, m.engagement_id, e.entity_id FROM messages m JOIN e ON m.engagement_id = e.engagement_id AND e.a <> '' AND contains(lower(m.body_text), e.a))
+mention AS (SELECT m.delivery_id, m.engagement_id, e.entity_id, arg_max(e.a, length(e.a)) AS alias FROM messages m JOIN e ON m.engagement_id = e.engagement_id AND e.a <> '' AND contains(lower(m.body_text), e.a) GROUP BY ALL)
 """
 _YEARS = r"list_sort(list_distinct(list_concat(list_transform(regexp_extract_all(lower(filename), '\b(20\d\d)\b', 1), lambda y: y::INT), list_transform(regexp_extract_all(lower(filename), 'fy\s?(\d{2,4})', 1), lambda y: CASE WHEN length(y) = 2 THEN y::INT + 2000 ELSE y::INT END))))"
 _GATE = " UNION ALL ".join(f"SELECT sheet_id, '{n}' AS pii_type, unnest(regexp_extract_all(coalesce(text, ''), '{p}', 0)) AS x FROM sheets" for n, p in gate.PATTERNS)
@@ -295,12 +286,12 @@ SQL = {
     "dedup_reused": "SELECT doc_id, count(DISTINCT message_source) AS n_sources, count(*) AS n_occurrences FROM occurrences GROUP BY doc_id HAVING count(DISTINCT message_source) > 1",
     "container_chains": r"SELECT occ_id, array_to_string(container_chain, ' > ') AS chain, len(container_chain) AS depth, container_chain[-1] AS leaf, lower(string_split(filename, '.')[-1]) AS suffix FROM occurrences",
     "container_counts": "SELECT count(*) AS n_occurrences, count(DISTINCT doc_id) AS n_documents, count_if(is_top_level_attachment)::BIGINT AS n_top, count_if(len(container_chain) > 2)::BIGINT AS n_nested, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.eml')) > 0)::BIGINT AS n_in_mail, count_if(len(list_filter(container_chain[2:-2], lambda x: lower(x) LIKE '%.zip')) > 0)::BIGINT AS n_in_zip FROM occurrences",
-    "ordered_documents": "SELECT message_source, string_agg(doc_id, ',' ORDER BY o) AS doc_ids FROM (SELECT message_source, doc_id, min(occ_id) AS o FROM occurrences WHERE message_source IS NOT NULL GROUP BY ALL) GROUP BY message_source",
+    "ordered_documents": "SELECT message_source, doc_id, row_number() OVER (PARTITION BY message_source ORDER BY o, doc_id) AS place FROM (SELECT message_source, doc_id, min(occ_id) AS o FROM occurrences WHERE message_source IS NOT NULL GROUP BY ALL)",
     "fact_dates": f"SELECT doc_id, pat_no, value::VARCHAR AS value, count(*) AS n FROM ({_DATES.format(key='doc_id', text='text', table='documents')}) WHERE value IS NOT NULL GROUP BY ALL",
     "fact_amounts": f"SELECT doc_id, len(a) AS n, list_max(a) AS largest, a[1] AS first_amount FROM (SELECT doc_id, {_AMOUNTS} AS a FROM documents) WHERE len(a) > 0",
     "fact_standards": r"SELECT doc_id, 'ASC ' || s AS standard, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bASC\s?(606|842|8\d\d|\d{3})\b', 1)) AS s FROM documents) GROUP BY ALL",
     "fact_signatures": rf"WITH s AS (SELECT span_id, len(regexp_extract_all(coalesce(snippet, ''), '{facts.SIGNED}', 1)) AS k, regexp_matches(coalesce(snippet, ''), '(?i){_DRAFT}') AS d FROM spans) SELECT span_id, CASE WHEN k = 0 THEN 1 ELSE k END AS n_marks, k > 0 AND NOT d AS signed, d AS draft FROM s WHERE k > 0 OR d",
-    "fact_entities": f"WITH {_MENTIONS} SELECT delivery_id, entity_id FROM mention",
+    "fact_entities": f"WITH {_MENTIONS} SELECT delivery_id, entity_id, alias FROM mention",
     "fact_requests": r"SELECT delivery_id, 'PBC-' || lpad(n::INT::VARCHAR, 2, '0') AS request, count(*) AS n FROM (SELECT delivery_id, unnest(regexp_extract_all(body_text, '(?i)pbc[-\s]?(\d{1,2})', 1)) AS n FROM messages) GROUP BY ALL",
     "fact_filename_years": f"SELECT occ_id, array_to_string(y, ',') AS years FROM (SELECT occ_id, {_YEARS} AS y FROM occurrences) WHERE len(y) > 0",
     "gate_findings": f"SELECT sheet_id, pii_type, '***' || CASE WHEN length(x) > 4 THEN right(x, 4) ELSE '' END AS masked, count(*) AS n FROM ({_GATE}) GROUP BY ALL",
@@ -316,28 +307,14 @@ q AS (SELECT doc_id, w, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract
 sc AS (SELECT doc_id, item_id, round(sum(k * s), 6) AS score FROM q JOIN wt USING (w) GROUP BY ALL)
 SELECT doc_id, item_id, rank, score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, item_id) AS rank FROM sc) WHERE rank <= 3 AND score > 0""",
     "version_groups": rf"""
-WITH f AS (SELECT DISTINCT doc_id, filename FROM occurrences),
-r AS (SELECT *, {_KEY} AS version_key, CASE WHEN regexp_matches(lower(filename), 'final|real') THEN 2 WHEN lower(filename) LIKE '%draft%' THEN -1 ELSE 0 END AS level, coalesce(try_cast(regexp_extract(filename, '(?i)v(?:ersion)?\s*(\d+)', 1) AS INT), 0) AS number FROM f),
-o AS (SELECT *, row_number() OVER (PARTITION BY version_key ORDER BY level, number, filename, doc_id) AS k, count(*) OVER (PARTITION BY version_key) AS n FROM r)
-SELECT version_key, max(CASE WHEN k = n THEN filename END) AS latest_filename, max(CASE WHEN k = n THEN doc_id END) AS latest_doc_id, max(n) AS n_versions, coalesce(string_agg(CASE WHEN k < n THEN filename END, ' < ' ORDER BY k), '') AS superseded FROM o GROUP BY version_key""",
+WITH f AS (SELECT DISTINCT doc_id, filename FROM occurrences WHERE filename IS NOT NULL),
+r AS (SELECT doc_id, filename, CASE WHEN {_KEY} = '' THEN '|' || filename || '|' || doc_id ELSE {_KEY} END AS version_key, CASE WHEN regexp_matches(lower(filename), 'final|real') THEN 2 WHEN lower(filename) LIKE '%draft%' THEN -1 ELSE 0 END AS level, coalesce(try_cast(regexp_extract(filename, '(?i)v(?:ersion)?\s*(\d+)', 1) AS INT), 0) AS number FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY version_key ORDER BY level, number, filename, doc_id) AS version_no, count(*) OVER (PARTITION BY version_key) AS n_versions FROM r)
+SELECT version_key, doc_id, filename, version_no, n_versions, version_no = n_versions AS is_latest FROM o""",
     "anomaly_final_draft": rf"SELECT DISTINCT doc_id, filename FROM occurrences WHERE regexp_matches(filename, '{versions.FINAL_WORDS}') AND doc_id IN (SELECT doc_id FROM spans WHERE regexp_matches(coalesce(snippet, ''), '(?i){_DRAFT}'))",
     "anomaly_stale_period": f"WITH y AS (SELECT doc_id, max(year(value)) AS content_year FROM ({_DATES.format(key='doc_id', text='snippet', table='spans')}) WHERE value IS NOT NULL GROUP BY doc_id), n AS (SELECT DISTINCT doc_id, filename, list_min({_YEARS}) AS name_year FROM occurrences) SELECT doc_id, filename, name_year, content_year FROM n JOIN y USING (doc_id) WHERE content_year < name_year",
     "check_entities": f"WITH {_MENTIONS}, a AS (SELECT engagement_id, count(DISTINCT entity_id) AS n_required FROM entities GROUP BY ALL), f AS (SELECT engagement_id, count(DISTINCT entity_id) AS k FROM mention GROUP BY ALL) SELECT engagement_id, n_required, coalesce(k, 0) AS n_found, coalesce(k, 0) = n_required AS covered FROM a LEFT JOIN f USING (engagement_id)",
     "check_period": f"WITH v AS (SELECT engagement_id, value AS v FROM ({_DATES.format(key='engagement_id', text='body_text', table='messages')}) WHERE value IS NOT NULL) SELECT engagement_id, count_if(v BETWEEN (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1 AND fiscal_year_end)::BIGINT AS n_inside, count_if(v < (fiscal_year_end - INTERVAL 12 MONTH)::DATE + 1)::BIGINT AS n_before, bool_or(v = fiscal_year_end) AS exact FROM v JOIN engagements USING (engagement_id) GROUP BY engagement_id",
-    "criteria_parsed": """
-WITH i AS (SELECT DISTINCT item_ref AS item_id FROM documents WHERE item_ref IS NOT NULL)
-SELECT item_id, ordinal, kind, raw FROM i, (VALUES (0::BIGINT, 'period', 'period=FY2026'), (1, 'standard', 'standard=ASC 606'), (2, 'include', 'must_include=[bank reconciliation]'), (3, 'reconciles', 'reconciles_to_gl=true'), (4, 'horizon', 'horizon_months=12'), (5, 'count', 'sample_size=30'), (6, 'signature', 'signed=true'), (7, 'threshold', 'threshold_usd=5000')) c(ordinal, kind, raw)""",
-    "criteria_outcomes": rf"""
-WITH t AS (SELECT item_ref AS item_id, doc_id, coalesce(text, '') AS x, lower(coalesce(text, '')) AS low FROM documents WHERE item_ref IS NOT NULL),
-v AS (SELECT doc_id, value FROM ({_DATES.format(key='doc_id', text='text', table='documents')}) WHERE value IS NOT NULL),
-y AS (SELECT doc_id, bool_or(value BETWEEN DATE '2025-07-01' AND DATE '2026-06-30') AS fy, bool_or(value BETWEEN DATE '2024-07-01' AND DATE '2025-06-30') AS prior FROM v GROUP BY doc_id),
-f AS (SELECT item_id, coalesce(bool_or(fy), false) OR bool_or(regexp_matches(low, 'fy\d{{2,4}}|fiscal year')) AS fy, coalesce(bool_or(prior), false) AS prior, bool_or(regexp_matches(x, '(?i)\bASC\s?606\b')) AS standard,
-  bool_or(contains(low, 'bank') AND contains(low, 'reconciliation')) AS phrase, bool_or(regexp_matches(low, 'reconcil|variance|tie-out')) AS recon, bool_or(contains(low, '12 month') OR contains(low, '12-month') OR contains(low, 'twelve month')) AS horizon,
-  bool_or(regexp_matches(x, '{facts.SIGNED}') AND NOT regexp_matches(x, '(?i){_DRAFT}')) AS signed FROM t LEFT JOIN y USING (doc_id) GROUP BY item_id)
-SELECT item_id, 0::BIGINT AS ordinal, 'period' AS kind, CASE WHEN fy THEN 'pass' WHEN prior THEN 'fail' ELSE 'unverifiable' END AS outcome FROM f
-UNION ALL SELECT item_id, 1, 'standard', CASE WHEN standard THEN 'pass' ELSE 'unverifiable' END FROM f UNION ALL SELECT item_id, 2, 'include', CASE WHEN phrase THEN 'pass' ELSE 'unverifiable' END FROM f
-UNION ALL SELECT item_id, 3, 'reconciles', CASE WHEN recon THEN 'pass' ELSE 'unverifiable' END FROM f UNION ALL SELECT item_id, 4, 'horizon', CASE WHEN horizon THEN 'pass' ELSE 'unverifiable' END FROM f
-UNION ALL SELECT item_id, 5, 'count', 'pass' FROM f UNION ALL SELECT item_id, 6, 'signature', CASE WHEN signed THEN 'pass' ELSE 'fail' END FROM f UNION ALL SELECT item_id, 7, 'threshold', 'unverifiable' FROM f""",
     "agg_dense_states": "SELECT s AS sheet_state, count(sheet_id) AS n FROM (VALUES ('visible'), ('hidden'), ('veryHidden'), ('unknown')) t(s) LEFT JOIN sheets ON sheet_state = s GROUP BY s",
     "agg_histogram": "SELECT field_kind, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM spans GROUP BY field_kind",
     "agg_cube": "SELECT lang, doc_kind, count(*) AS n, sum(n_chars)::BIGINT AS chars, grouping_id(lang, doc_kind) AS level FROM documents GROUP BY CUBE (lang, doc_kind)",
@@ -353,6 +330,9 @@ SELECT tp, fp, fn, CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE round(tp / (tp +
 WITH b AS (SELECT DISTINCT lower(email) AS email FROM addresses WHERE email IS NOT NULL), s AS (SELECT DISTINCT lower(sender.email) AS email FROM messages WHERE sender.email IS NOT NULL),
 g AS (SELECT DISTINCT lower(a.email) AS email FROM (SELECT unnest(list_concat(to_addrs, cc_addrs)) AS a FROM messages) WHERE a.email IS NOT NULL)
 SELECT email, 'writes' AS part FROM (SELECT * FROM b INTERSECT SELECT * FROM s) UNION ALL SELECT email, 'receives' FROM (SELECT * FROM b INTERSECT (SELECT * FROM g EXCEPT SELECT * FROM s)) UNION ALL SELECT email, 'silent' FROM (SELECT * FROM b EXCEPT (SELECT * FROM s UNION SELECT * FROM g))""",
+    "file_types": r"""
+SELECT CASE WHEN regexp_matches(lower(f), '\.xls[xm]$') THEN 'xlsx' WHEN lower(f) LIKE '%.pdf' THEN 'pdf' WHEN regexp_matches(lower(f), '\.(jpe?g|png)$') THEN 'image' WHEN lower(f) LIKE '%.zip' THEN 'archive' WHEN regexp_matches(lower(f), '\.(txt|csv)$') THEN 'text' ELSE 'unknown' END AS kind, count(*) AS n, sum(k)::BIGINT AS n_occurrences
+FROM (SELECT doc_id, coalesce(arg_min(filename, occ_id), '') AS f, count(*) AS k FROM occurrences GROUP BY doc_id) GROUP BY ALL""",
     "join_documents_of_mail": "WITH x AS (SELECT delivery_id, unnest(document_ids) AS doc_id FROM messages) SELECT m.delivery_id, count(DISTINCT x.doc_id) AS n_docs, count(DISTINCT o.doc_id) AS n_known FROM messages m LEFT JOIN x ON x.delivery_id = m.delivery_id LEFT JOIN (SELECT DISTINCT doc_id FROM occurrences) o ON o.doc_id = x.doc_id GROUP BY m.delivery_id",
     "join_discovered": "WITH a AS (SELECT addr_id, engagement_id, lower(trim(display_name)) AS who, lower(email) AS email FROM addresses WHERE display_name IS NOT NULL AND trim(display_name) <> ''), s AS (SELECT engagement_id, who, arg_max(email, addr_id) AS found FROM a WHERE email IS NOT NULL GROUP BY ALL) SELECT addr_id, coalesce(found, '?') AS email FROM a LEFT JOIN s USING (engagement_id, who) WHERE a.email IS NULL",
     "report_json": """

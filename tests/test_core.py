@@ -6,10 +6,10 @@ from io import BytesIO
 
 from pyspark.sql import functions as F
 
-from quaystone.operators import facts, gate, matching, versions
+from quaystone.operators import facts, gate, matching, segments, versions
 from quaystone.operators.graph import components
 from quaystone.operators.ranking import spread_row_number
-from quaystone.operators.threads import threads
+from quaystone.operators.threads import thread_ids, threads
 from quaystone.sources import containers, documents
 
 
@@ -136,20 +136,69 @@ def test_gate(spark):
     assert gate.summary(gate.scan(df, "id", "t"), "id").first().summary == "DOB×1, SSN×1, bank_account×1"
 
 
+def _tokens(df, key):
+    return df.withColumn("tokens", matching.tokens(F.col("text"))).drop("text")
+
+
 def test_bm25_ways_agree(spark):
     rng = random.Random(1)
     words = [f"w{i}" for i in range(40)]
-    items = spark.createDataFrame([(i, " ".join(rng.choices(words, k=8))) for i in range(12)] + [(12, "")], "item_id long, text string")
-    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=15))) for i in range(30)] + [(30, None), (31, "")], "doc_id long, text string")
-    one, two = (sorted(map(tuple, matching.best_items(docs, items, "doc_id", "text", 3, cells=c).collect())) for c in (10**9, 0))
-    assert one and [r[:3] for r in one] == [r[:3] for r in two] and all(abs(a[3] - b[3]) < 1e-5 for a, b in zip(one, two))
-    assert matching.tokens("Adjusted_TB.xlsx", True) == ["adjusted", "tb", "xlsx", "trial", "balance"]
+    items = _tokens(spark.createDataFrame([(i, " ".join(rng.choices(words, k=8))) for i in range(12)] + [(12, "")], "item_id long, text string"), "item_id")
+    texts = [(i, " ".join(rng.choices(words, k=15)), rng.choices(range(14), k=rng.randrange(3)) if i % 3 else None, [1, 5, 7] if i % 4 == 0 else [99] if i % 4 == 1 else None) for i in range(30)]
+    docs = _tokens(spark.createDataFrame(texts + [(30, None, [3, 3], None), (31, "", None, None)], "doc_id long, text string, refs array<long>, allowed array<long>"), "doc_id")
+    for asked in (docs, docs.drop("refs"), docs.drop("allowed", "refs")):
+        one, two = (sorted(map(tuple, matching.best_items(asked, items, "doc_id", 3, cells=c).collect())) for c in (10**9, 0))
+        assert one and [r[:3] for r in one] == [r[:3] for r in two] and all(abs(a[3] - b[3]) < 1e-5 for a, b in zip(one, two))
+    named = {(r.doc_id, r.rank): (r.item_id, r.score) for r in matching.best_items(docs, items, "doc_id", 1).collect()}
+    assert named[(30, 1)] == (3, 1.125)  # a half, then a half and a quarter of that
+    assert all(i in (1, 5, 7) for (d, _), (i, _) in named.items() if d % 4 == 0 and d < 30)
+
+
+def test_queries_of_documents(spark):
+    row = spark.range(1).select(
+        matching.expanded(matching.tokens(F.lit("Adjusted_TB.xlsx"))).alias("a"), matching.evidence_tokens(F.lit("AR lease"), F.lit("PBC-10"), F.array(F.lit("ASC 842"))).alias("b"), matching.expanded(matching.tokens(F.lit(None).cast("string"))).alias("c")
+    ).first()
+    assert row.a == ["adjusted", "tb", "xlsx", "trial", "balance"] and row.c == []
+    assert row.b == ["ar", "lease", "accounts", "receivable", "lease"] * 3 + ["pbc", "10", "asc", "842"]
+    q = spark.createDataFrame([(1, ["a", "b", "a", "x"]), (2, [])], "k long, tokens array<string>")
+    assert [tuple(r) for r in matching.overlap(q, spark.createDataFrame([(7, ["a", "a"]), (8, ["z"])], "item_id long, tokens array<string>"), "k").collect()] == [(1, 7, 0.5)]
 
 
 def test_versions(spark):
-    f = spark.createDataFrame([("a", "Financials_Draft.xlsx"), ("b", "Financials_v2.xlsx"), ("c", "Financials_Final_v3_REAL.xlsx"), ("d", "TB 2026.xlsx")], "doc_id string, filename string")
-    r = {x.version_key: x for x in versions.version_groups(f).collect()}
-    assert r["financials"].latest_doc_id == "c" and r["financials"].superseded == "Financials_Draft.xlsx < Financials_v2.xlsx" and r["tb2026"].n_versions == 1
+    f = spark.createDataFrame([("a", "Financials_Draft.xlsx"), ("b", "Financials_v2.xlsx"), ("c", "Financials_Final_v3_REAL.xlsx"), ("c", "Financials_Final_v3_REAL.xlsx"), ("d", "TB 2026.xlsx"), ("e", "Final.pdf"), ("f", "Draft.pdf"), ("g", None)], "doc_id string, filename string")
+    r = {x.doc_id: x for x in versions.version_groups(f).collect()}
+    assert [(r[d].version_no, r[d].is_latest, r[d].n_versions) for d in "abc"] == [(1, False, 3), (2, False, 3), (3, True, 3)] and r["d"].version_key == "tb2026"
+    assert r["e"].is_latest and r["f"].is_latest and set(r) == set("abcdef")  # names of version words only are not pooled
+
+
+def test_entities_of_a_scope_larger_than_a_block(spark, monkeypatch):
+    monkeypatch.setattr(facts, "BLOCK", 3)
+    e = spark.createDataFrame([("s", i, f"Name{i:02d} Foods LLC") for i in range(10)] + [("s", 11, None), (None, 12, "Name01 Foods LLC")], "scope string, entity_id long, entity_name string")
+    t = spark.createDataFrame([("s", 1, "of NAME01 Foods and name07 foods llc"), ("s", 2, None), ("t", 3, "name01 foods"), (None, 4, "name01 foods")], "scope string, id long, t string")
+    got = sorted(tuple(r) for r in facts.entity_mentions(t, e, "scope", "id", "t").collect())
+    assert got == [(1, 1, "name01 foods"), (1, 7, "name07 foods llc")]
+
+
+def test_dates_put_off_and_caveats(spark):
+    t = [(1, "We expect PBC-7 by March 3, sorry.", 2026), (2, "PBC 12 instead of Monday: 2026-02-31", 2026), (3, "Nothing about PBC-3", 2026), (4, None, 2026), (5, "The lease is still outstanding. PBC-4 remains outstanding!\nIt is still pending but immaterial.", 2026)]
+    df = spark.createDataFrame(t, "id long, t string, fy int")
+    assert {(r.id, r.request, str(r.expected_by)) for r in facts.reschedules(df, "id", "t", "fy").collect()} == {(1, "PBC-07", "2026-03-03"), (2, "PBC-12", "None")}
+    assert [(r.id, r.ord, r.request) for r in facts.caveats(df, "id", "t").orderBy("id", "ord").collect()] == [(5, 0, None), (5, 1, "PBC-04")]
+
+
+def test_segments(spark):
+    schema = "doc_id string, sniffed_type string, text string, pages array<string>, sheets array<struct<name:string,text:string>>"
+    rows = [("a", "xlsx", "t", ["t"], [("S1", "x"), ("S2", None)]), ("b", "pdf", "t", ["p1", "p2"], None), ("c", "image", "t", ["t"], []), ("d", "text", None, None, None)]
+    df = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in segments.segments(df).orderBy("doc_id", "seg_no").collect()]
+    assert got == [("a", 0, "sheet 'S1'", "x"), ("a", 1, "sheet 'S2'", None), ("b", 0, "page 1", "p1"), ("b", 1, "page 2", "p2"), ("c", 0, "photo", "t"), ("d", 0, "body", None)]
+    assert [r.locator for r in segments.segments(df, any_pages=True).where("doc_id = 'c'").collect()] == ["page 1"]
+
+
+def test_thread_ids(spark):
+    m = spark.createDataFrame([(1, "in/Thread07_msg01.eml"), (2, "in/thread07_msg02.eml"), (3, "x/thread1_a.eml"), (4, "x/thread2_b.eml"), (5, None)], "delivery_id long, source_path string")
+    t = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5)], "delivery_id long, thread_key long")
+    assert {r.thread_key: r.thread_id for r in thread_ids(m, t).collect()} == {1: "thread07", 3: "thread02", 5: "thread03"}
 
 
 def test_nothing_outside_llm_imports_it():
