@@ -209,7 +209,7 @@ def _shingles(words: list[str]) -> np.ndarray:
     return (h.astype(np.uint32) | np.uint32(1)).view(np.int32)
 
 
-_SCAN = "own array<int>, starts array<boolean>, at array<int>, hash array<int>, whole array<int>, turn int, signed boolean"
+_SCAN = "own array<int>, starts array<boolean>, sizes array<int>, hash array<int>, whole array<int>, turn int, signed boolean"
 
 
 def _scan(frame: pd.DataFrame) -> pd.DataFrame:
@@ -228,7 +228,7 @@ def _scan(frame: pd.DataFrame) -> pd.DataFrame:
                 whole += w
                 of += [i] * len(w)
         s = _shingles(whole)
-        at, hashes = [], []
+        sizes, hashes = [], []
         starts = [k == 0 or own[k] != own[k - 1] + 1 or own[k] == turn or is_salutation(lines[own[k] - 1].strip()) for k in range(len(own))]
         if follows and own:
             para = dict(zip(own, np.cumsum(starts).tolist()))
@@ -238,9 +238,10 @@ def _scan(frame: pd.DataFrame) -> pd.DataFrame:
                 inside = (of_para[: len(s)] == of_para[SHINGLE - 1 :]) & (of_para[: len(s)] > 0)  # such runs lie in one paragraph
                 runs[: len(s)][inside] = s[inside]
             mine = of_para > 0
-            at, hashes = np.array(of, np.int32)[mine].tolist(), runs[mine].tolist()
-        out.append((own, starts, at, hashes, s.tolist(), turn, signed))
-    return pd.DataFrame(out, columns=["own", "starts", "at", "hash", "whole", "turn", "signed"])
+            counts = np.bincount(np.array(of, np.int64), minlength=len(lines)) if of else np.zeros(len(lines), np.int64)
+            sizes, hashes = counts[own].tolist(), runs[mine].tolist()
+        out.append((own, starts, sizes, hashes, s.tolist(), turn, signed))
+    return pd.DataFrame(out, columns=["own", "starts", "sizes", "hash", "whole", "turn", "signed"])
 
 
 def _chain(runs: list[int], places: list[list[int]]) -> list[int]:
@@ -325,20 +326,21 @@ def inherited_lines(own: list[int], starts: list[bool], at: np.ndarray, hashes:
     return [line for line, p in line_para.items() if lost[p] or line in alone]
 
 
-def ancestors(named: DataFrame) -> DataFrame:
-    """(_key, _above) of every message id and every id that it names, or that those name in turn, itself left out.
+def ancestors(named: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_node, _above) of every row and every id that it names, or that those name in turn, itself left out; and which of them no row states.
 
-    named: (_key, _above) as the rows state them. Only what a round finds anew is followed in the next, so threads whose
+    named: (_node, _above) as the rows state them. Only what a round finds anew is followed in the next, so threads whose
     rows list all their references end after one, and loops end too.
     """
-    known = cut(named.where("_key <> _above").distinct())
-    fresh = known
+    stated = cut(named.where("_node <> _above").distinct())
+    known, fresh, found = stated, stated, None
     while True:
-        step = fresh.join(named.select(F.col("_key").alias("_above"), F.col("_above").alias("_next")).distinct(), "_above").select("_key", F.col("_next").alias("_above")).where("_key <> _above").distinct()
-        fresh = cut(step.join(known, ["_key", "_above"], "left_anti"))
+        step = fresh.join(stated.select(F.col("_node").alias("_above"), F.col("_above").alias("_next")), "_above").select("_node", F.col("_next").alias("_above")).where("_node <> _above").distinct()
+        fresh = cut(step.join(known, ["_node", "_above"], "left_anti"))
         if fresh.isEmpty():
-            return known
-        known = cut(known.unionByName(fresh))
+            return known, fresh if found is None else found
+        found = fresh if found is None else cut(found.unionByName(fresh))
+        known = stated.unionByName(found)
 
 
 def new_lines(messages: DataFrame) -> DataFrame:
@@ -359,22 +361,25 @@ def new_lines(messages: DataFrame) -> DataFrame:
         F.transform(refs, lambda k: F.xxhash64(k)).alias("_refs"),
         F.struct(F.col("body_text").alias("body"), F.col("sender.display_name").alias("display"), F.col("sender.email").alias("email"), (F.size(refs) > 0).alias("follows")).alias("_in"),
     )
-    scanned = cut(read.select("delivery_id", "_key", "_named", "_refs", udf("_in").alias("s")).select("delivery_id", "_key", "_named", "_refs", "s.*"))
-
-    above = ancestors(scanned.where("_named").select("_key", F.explode("_refs").alias("_above")))
-    looped = above.join(above.select(F.col("_above").alias("_key"), F.col("_key").alias("_above")), ["_key", "_above"], "left_semi").select(F.col("_key").alias("_own"), F.col("_above").alias("_key"), F.lit(True).alias("looped"))
-    stated = scanned.where("size(hash) > 0").select("delivery_id", F.when(F.col("_named"), F.col("_key")).alias("_own"), F.explode("_refs").alias("_key"))
-    wanted = stated.unionByName(stated.join(above, "_key").select("delivery_id", "_own", F.col("_above").alias("_key"))).distinct().join(looped, ["_own", "_key"], "left").select("delivery_id", "_key", F.coalesce("looped", F.lit(False)).alias("looped"))
-    held = scanned.where("_named and size(whole) > 0").groupBy("_key").agg(F.max("whole").alias("whole"))
-    children = scanned.where("size(hash) > 0").select("delivery_id", F.col("_key").alias("_own"), "_named", "own", "starts", "at", "hash")
-    pairs = wanted.join(held.select("_key"), "_key", "left_semi").join(children, "delivery_id").where("not (_named and _own = _key)").join(held, "_key")
-    pairs = pairs.where(F.arrays_overlap("hash", "whole")).select("delivery_id", "own", "starts", "at", "hash", "whole", "looped")
+    # a row without an id is a node of its own, which nobody names
+    node = F.when(F.col("_named"), F.col("_key")).otherwise(F.xxhash64(F.lit("no id"), F.col("delivery_id"))).alias("_node")
+    scanned = cut(read.select("delivery_id", "_named", node, "_refs", udf("_in").alias("s")).select("delivery_id", "_named", "_node", "_refs", "s.*"))
+
+    above, unstated = ancestors(scanned.select("_node", F.explode("_refs").alias("_above")))
+    # rows that are above each other, by the one that is compared with
+    loops = above.join(above.select(F.col("_above").alias("_node"), F.col("_node").alias("_above")), ["_node", "_above"], "left_semi").groupBy("_above").agg(F.collect_set("_node").alias("loops"))
+    held = scanned.where("_named and size(whole) > 0").groupBy(F.col("_node").alias("_above")).agg(F.max("whole").alias("whole")).join(loops, "_above", "left")
+    children = scanned.where("size(hash) > 0").select("delivery_id", "_node", "_refs", "own", "starts", "sizes", "hash")
+    direct = children.withColumn("_above", F.explode("_refs")).drop("_refs")
+    further = children.drop("_refs").join(unstated, "_node")
+    pairs = direct.unionByName(further).where("_node <> _above").join(held, "_above").where(F.arrays_overlap("hash", "whole"))
+    pairs = pairs.select("delivery_id", "own", "starts", "sizes", "hash", "whole", F.coalesce(F.array_contains("loops", F.col("_node")), F.lit(False)).alias("looped"))
 
     def compare(parts):
         for p in parts:
             who, lines = [], []
-            for key, own, starts, at, h, whole, looped in zip(p["delivery_id"], p["own"], p["starts"], p["at"], p["hash"], p["whole"], p["looped"]):
-                gone = inherited_lines(own.tolist(), starts.tolist(), at, h, whole, looped)
+            for key, own, starts, sizes, h, whole, looped in zip(p["delivery_id"], p["own"], p["starts"], p["sizes"], p["hash"], p["whole"], p["looped"]):
+                gone = inherited_lines(own.tolist(), starts.tolist(), np.repeat(own, sizes), h, whole, looped)
                 who += [key] * len(gone)
                 lines += gone
             yield pd.DataFrame({"delivery_id": np.array(who, np.int64), "line_no": np.array(lines, np.int64)})
@@ -382,7 +387,7 @@ def new_lines(messages: DataFrame) -> DataFrame:
     gone = cut(pairs.mapInPandas(compare, "delivery_id bigint, line_no bigint").distinct())
     # second letters: by comparison where the sender signs below and all ancestors that the row names are there, else by their form
     twice = scanned.where("turn >= 0").select("delivery_id", "turn", "_refs", "signed")
-    missing = twice.select("delivery_id", F.explode_outer("_refs").alias("_key")).join(scanned.where("_named").select("_key").distinct(), "_key", "left_anti").select("delivery_id")
+    missing = twice.select("delivery_id", F.explode_outer("_refs").alias("_key")).join(scanned.where("_named").select(F.col("_node").alias("_key")).distinct(), "_key", "left_anti").select("delivery_id")
     found = twice.join(gone, "delivery_id").where("line_no >= turn").select("delivery_id")
     pasted = twice.join(missing.unionByName(found).unionByName(twice.where("not signed").select("delivery_id")).distinct(), "delivery_id").select("delivery_id", "turn")
     written = scanned.select("delivery_id", F.explode("own").alias("line_no")).select("delivery_id", F.col("line_no").cast("long").alias("line_no"))
