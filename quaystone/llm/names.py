@@ -242,20 +242,18 @@ def segment_join(index: DataFrame, probe: DataFrame, carry: list[str], k: int =
     neighbours is one, and some others: s swaps and e other edits make at most 2 s + e plain ones and change e letters.
     """
 
-    def keyed(make):
-        def run(parts):
-            for p in parts:
-                keys = [sorted(make(t)) for t in p["text"]]
-                n = [len(x) for x in keys]
-                q = p.loc[p.index.repeat(n)].reset_index(drop=True)
-                q["key"] = [y for x in keys for y in x]
-                yield q
-
-        return run
-
-    fields = ", ".join(f"{n} {t}" for n, t in index.select("scope", "text", *carry).dtypes)
-    left = index.select("scope", "text", *carry).mapInPandas(keyed(lambda t: index_keys(t, k)), fields + ", key string")
-    right = probe.select("scope", "text", *carry).mapInPandas(keyed(lambda t: probe_keys(t, k, swaps)), fields + ", key string")
+    def keyed(df: DataFrame, make) -> DataFrame:
+        # only the text goes to Python: a bigint that may be null would come back as a rounded float
+        @F.pandas_udf("array<string>")
+        def keys(texts: pd.Series) -> pd.Series:
+            return pd.Series([sorted(make(t)) for t in texts], dtype=object)
+
+        return df.withColumn("key", F.explode(keys("text")))
+
+    # a probe yields some twenty keys, so even what lies in one small file is spread before it is multiplied
+    tasks = index.sparkSession.sparkContext.defaultParallelism
+    index, probe = (df.select("scope", "text", *carry).repartition(tasks, "text") for df in (index, probe))
+    left, right = keyed(index, lambda t: index_keys(t, k)), keyed(probe, lambda t: probe_keys(t, k, swaps))
     left = left.select(F.xxhash64("scope", "key").alias("h"), F.col("scope").alias("l_scope"), F.col("text").alias("l_text"), *[F.col(c).alias(f"l_{c}") for c in carry])
     right = right.select(F.xxhash64("scope", "key").alias("h"), F.col("scope").alias("r_scope"), F.col("text").alias("r_text"), *[F.col(c).alias(f"r_{c}") for c in carry])
     within = F.levenshtein("l_text", "r_text", k) >= 0

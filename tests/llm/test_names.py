@@ -119,3 +119,11 @@ def test_empty_tables_and_repeated_rows(spark):
     assert names.same_name_pairs(*none).count() == 0
     twice = spark.createDataFrame([(1, "e", "Ann Thorquist", None, "", "")] * 3 + [(2, "e", "x" * 5000 + " y" * 3000, None, "", "")], A)
     assert names.same_name_pairs(twice, none[1]).count() == 0
+
+
+def test_carried_columns_keep_every_digit_beside_nulls(spark):
+    big = [None if i % 2 else -2018570118285295009 - i for i in range(40)]
+    rows = [("s", f"name{i:02d}xyz", i, big[i]) for i in range(40)]
+    df = spark.createDataFrame(rows, "scope string, text string, node long, label long").coalesce(1)
+    got = {(r.l_node, r.l_label) for r in names.segment_join(df, df, ["node", "label"]).collect()}
+    assert got == {(i, big[i]) for i in range(40)}
