@@ -145,7 +145,13 @@ _COMPILED = [(k, re.compile(p)) for k, p in _PLACED]
 
 
 def placed_facts(texts: DataFrame, key: str, text: str, around: int = 24) -> DataFrame:
-    """(key, kind, ord, start_pos, raw, snippet) of each date, amount, standard and signature mark with the text around it, white space closed up."""
+    """(key, kind, ord, start_pos, raw, snippet) of each date, amount, standard and signature mark with the text around it, white space closed up.
+
+    Only texts that have one, as the JVM tells, are read in Python for the positions.
+    """
+    some = F.lit(False)
+    for pattern in dict.fromkeys(p for _, p in _PLACED):
+        some = some | F.col(text).rlike(pattern)
 
     @F.pandas_udf("array<struct<kind:string,ord:int,start_pos:int,raw:string,snippet:string>>")
     def find(values: pd.Series) -> pd.Series:
@@ -158,4 +164,4 @@ def placed_facts(texts: DataFrame, key: str, text: str, around: int = 24) -> Dat
             out.append(rows)
         return pd.Series(out)
 
-    return texts.select(key, F.explode(find(text)).alias("f")).select(key, "f.*")
+    return texts.where(some).select(key, F.explode(find(text)).alias("f")).select(key, "f.*")

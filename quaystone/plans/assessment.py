@@ -314,6 +314,9 @@ SELECT span_id, locator, kind_no, ord, value FROM f JOIN spans USING (span_id)""
 t AS (SELECT *, 'PBC-' || lpad(regexp_extract(x, '{facts.REQUEST}', 1)::INT::VARCHAR, 2, '0') AS request, regexp_extract(x, '{facts.DAY_PHRASE}', 1) AS p FROM m WHERE regexp_matches(x, '{facts.RESCHEDULED}') AND regexp_matches(x, '{facts.REQUEST}') AND regexp_matches(x, '{facts.DAY_PHRASE}')),
 u AS (SELECT *, CASE WHEN regexp_matches(p, '\d{{4}}-') THEN try_strptime(p, '%Y-%m-%d') ELSE try_strptime(regexp_replace(p, '\s+', ' ', 'g') || ' ' || fy, '%B %d %Y') END::DATE AS day FROM t)
 SELECT engagement_id, request, arg_max(day, delivery_id)::VARCHAR AS expected_by FROM u WHERE day IS NOT NULL GROUP BY ALL""",
+    "fact_caveats": rf"""WITH s AS (SELECT delivery_id, unnest(string_split(regexp_replace(coalesce(body_text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10))) AS s FROM messages),
+o AS (SELECT delivery_id, regexp_extract(s, '{facts.REQUEST}', 1) AS r FROM s WHERE trim(s) <> '' AND ({" OR ".join(f"contains(lower(s), '{p}')" for p in facts.OPEN_PHRASES)}) AND NOT ({" OR ".join(f"contains(lower(s), '{p}')" for p in facts.RESOLVED_PHRASES)}))
+SELECT delivery_id, count(*) AS n_open, count(CASE WHEN try_cast(r AS INT) BETWEEN 1 AND {len(TITLES)} THEN 1 END) AS n_named FROM o GROUP BY delivery_id""",
     "thread_names": rf"""WITH RECURSIVE {evidence._THREADS}, h AS (SELECT thread_key, min(hint) AS lo, max(hint) AS hi FROM (SELECT thread_key, nullif(lower(regexp_extract(source_path, '(?i)(thread\d+)', 1)), '') AS hint FROM messages JOIN thread USING (delivery_id)) GROUP BY ALL)
 SELECT thread_key, CASE WHEN lo = hi THEN lo ELSE 'thread' || CASE WHEN n < 10 THEN '0' ELSE '' END || n END AS thread_id FROM (SELECT *, row_number() OVER (ORDER BY thread_key) AS n FROM h)""",
     "thread_of_files": rf"""WITH RECURSIVE {evidence._THREADS}, h AS (SELECT thread_key, min(hint) AS lo, max(hint) AS hi FROM (SELECT thread_key, nullif(lower(regexp_extract(source_path, '(?i)(thread\d+)', 1)), '') AS hint FROM messages JOIN thread USING (delivery_id)) GROUP BY ALL),

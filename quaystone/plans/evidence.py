@@ -292,6 +292,7 @@ SQL = {
     "fact_standards": r"SELECT doc_id, 'ASC ' || s AS standard, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\bASC\s?(606|842|8\d\d|\d{3})\b', 1)) AS s FROM documents) GROUP BY ALL",
     "fact_signatures": rf"WITH s AS (SELECT span_id, len(regexp_extract_all(coalesce(snippet, ''), '{facts.SIGNED}', 1)) AS k, regexp_matches(coalesce(snippet, ''), '(?i){_DRAFT}') AS d FROM spans) SELECT span_id, CASE WHEN k = 0 THEN 1 ELSE k END AS n_marks, k > 0 AND NOT d AS signed, d AS draft FROM s WHERE k > 0 OR d",
     "fact_entities": f"WITH {_MENTIONS} SELECT delivery_id, entity_id, alias FROM mention",
+    "fact_sentences": r"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(s) <> '')) AS n_sentences FROM documents",
     "fact_requests": r"SELECT delivery_id, 'PBC-' || lpad(n::INT::VARCHAR, 2, '0') AS request, count(*) AS n FROM (SELECT delivery_id, unnest(regexp_extract_all(body_text, '(?i)pbc[-\s]?(\d{1,2})', 1)) AS n FROM messages) GROUP BY ALL",
     "fact_filename_years": f"SELECT occ_id, array_to_string(y, ',') AS years FROM (SELECT occ_id, {_YEARS} AS y FROM occurrences) WHERE len(y) > 0",
     "gate_findings": f"SELECT sheet_id, pii_type, '***' || CASE WHEN length(x) > 4 THEN right(x, 4) ELSE '' END AS masked, count(*) AS n FROM ({_GATE}) GROUP BY ALL",

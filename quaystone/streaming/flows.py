@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -20,7 +21,10 @@ def arrivals(spark: SparkSession, sf_dir: str, name: str, files_at_once: int = 1
 
 
 def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything that the stream yields over what has arrived; files and checkpoint lie in the shared folder."""
+    """What the stream yields over what has arrived: in append and update mode all that it gave out, in complete mode its last state.
+
+    Files and checkpoint lie in the shared folder.
+    """
     spark = stream.sparkSession
     where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
@@ -31,17 +35,30 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{where}/out/batch={number}")
 
     stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{where}/state").outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.parquet(f"{where}/out")
+    try:
+        done = spark.read.parquet(f"{where}/out")
+    except AnalysisException:  # no batch came
+        return spark.createDataFrame([], stream.schema)
+    if mode == "update":
+        return done.drop("batch")
     last = done.agg(F.max("batch")).first()[0]
     return done.where(F.col("batch") == last).drop("batch")
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
+def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Events of each window and type. With a delay, what arrives later than it after its window is dropped and windows can be appended."""
+    if late:
+        events = events.withWatermark("ts", late)
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
-def without_copies(messages: DataFrame, late: str = "3650 days") -> DataFrame:
-    """Each content once, as it first arrives; what is older than the watermark is forgotten."""
+def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(user_id, session_start, n) of each run of a user's events with less than the gap between neighbours."""
+    return events.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("session_start"), "n")
+
+
+def without_copies(messages: DataFrame, late: str = "30 days") -> DataFrame:
+    """Each content once, as it first arrives; a copy that comes later than the delay is let through again, so that the state stays bounded."""
     keyed = messages.withColumn("content_key", F.sha2(F.coalesce("body_text", F.lit("")), 256)).withWatermark("received_at", late)
     return keyed.dropDuplicatesWithinWatermark(["content_key"]).select("content_key")
 
