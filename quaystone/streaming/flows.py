@@ -48,7 +48,7 @@ def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
     """Events of each window and type. With a delay, what arrives later than it after its window is dropped and windows can be appended."""
     if late:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return events.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
@@ -74,5 +74,5 @@ def user_totals(events: DataFrame) -> DataFrame:
         state.update((n, last))
         yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_micros": [last]})
 
-    slim = events.select("user_id", F.unix_micros("ts").alias("micros"))
+    slim = events.select(F.col("user_id").cast("long").alias("user_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("micros"))
     return slim.groupBy("user_id").applyInPandasWithState(step, "user_id bigint, n bigint, last_micros bigint", "n bigint, last bigint", "update", GroupStateTimeout.NoTimeout)

@@ -24,7 +24,7 @@ def _arrive(spark, tmp_path, *files):
 
 
 def test_late_events_are_dropped_and_open_windows_wait(spark, tmp_path):
-    stream = _arrive(spark, tmp_path, [(1, 1, 0), (1, 1, 30), (1, 3, 0)], [(1, 1, 5), (1, 5, 0)], [(1, 9, 0)])
+    stream = _arrive(spark, tmp_path, [(1, 1, 0), (1, 1, 30), (1, 3, 0)], [(1, 5, 0)], [(1, 1, 5), (1, 9, 0)])
     got = {(r.window_start.hour, r.n) for r in flows.run_to_end(flows.tumbling_counts(stream, late="30 minutes")).collect()}
     assert got == {(1, 2), (3, 1), (5, 1)}  # 1:05 came after its window was closed; that of 9:00 is still open
 
