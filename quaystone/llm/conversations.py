@@ -1,8 +1,7 @@
 """Conversations out of message rows (problem 6).
 
 Candidate reply links come from two places: the ids that a row names, and, for rows that
-name none that is there, the channel: of the engagement's earlier mail the latest with its subject, the latest
-of each person that it names, and the latest that holds a line it repeats. Links are scored by what the row states, by
+name none that is there, the channel: all earlier mail of the engagement. Links are scored by what the row states, by
 time, by mentions and by lexical overlap of whole texts; the likeliest becomes the parent, and link trees grow by
 pointer doubling. What a row states outweighs all hints, and sound_conversations uses stated links only, as the
 task defines a parent by them; disentangled gives the trees with inferred links too.
@@ -10,12 +9,15 @@ task defines a parent by them; disentangled gives the trees with inferred links
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quaystone.functions.mailids import is_blank, message_key, message_keys
 from quaystone.operators.deliveries import kept_messages
-from quaystone.operators.ranking import spread_last, spread_row_number
+from quaystone.operators.ranking import spread_row_number
 from quaystone.operators.threads import plain_subject
 from quaystone.operators.timestamps import to_utc
 from quaystone.session import cut
@@ -28,6 +30,8 @@ TIME, MENTION, TOPIC, WORDS, LINES = 0.15, 0.2, 0.25, 0.1, 0.3
 LEAST = 0.35
 #: Days after which the weight of time has fallen to half; words that a repeated line has at least.
 HALF_LIFE, LINE_WORDS = 2.0, 6
+#: Rows of an engagement that are held together; rows compared with such a block at a time, and meetings of equal words counted at a time.
+BLOCK, ASKED, MET = 1024, 64, 2_000_000
 
 
 def _words(text: Column, longer: int = 2) -> Column:
@@ -101,33 +105,97 @@ def likeliest_parents(links: DataFrame, nodes: DataFrame) -> DataFrame:
     return alone.unionByName(best)
 
 
+def _sets(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of a column: how many each row has, the row of each value, the values."""
+    column = rows[name].combine_chunks()
+    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes, np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False)
+
+
+def _only(sets: tuple[np.ndarray, np.ndarray, np.ndarray], keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sets of the rows marked in keep, these numbered anew."""
+    sizes, rows, values = sets
+    return sizes[keep], (np.cumsum(keep) - 1)[rows[keep[rows]]], values[keep[rows]]
+
+
+def _common(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """How many values each set of a shares with each set of b, as a matrix."""
+    order = np.argsort(b[2], kind="stable")
+    values, rows = b[2][order], b[1][order]
+    first = np.searchsorted(values, a[2], "left")
+    n = np.searchsorted(values, a[2], "right") - first
+    cells = np.zeros(len(a[0]) * len(b[0]), dtype=np.int64)
+    met = np.cumsum(n)
+    for low in range(0, int(met[-1]) if len(met) else 0, MET):
+        at = slice(np.searchsorted(met, low, "right"), np.searchsorted(met, low + MET, "right"))
+        k = n[at]
+        place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k) + np.repeat(first[at], k)
+        cells += np.bincount(np.repeat(a[1][at], k) * len(b[0]) + rows[place], minlength=len(cells))
+    return cells.reshape(len(a[0]), len(b[0]))
+
+
+def _jaccard(a: tuple[np.ndarray, np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    both = _common(a, b)
+    return both / np.maximum(a[0][:, None] + b[0][None, :] - both, 1)
+
+
+def _best_of_block(asks: pa.Table, posts: pa.Table) -> pa.Table:
+    """(child, target, score) of the likeliest of posts for each of asks, where one scores LEAST or more: the hints of _hints, pair by pair.
+
+    Words are counted last, and only for rows with a pair that they could make the best.
+    """
+    column = lambda rows, name: rows[name].to_numpy()
+    of = {x: _sets(posts, x) for x in ("topic", "names", "words", "lines")}
+    child, target, score = [], [], []
+    for start in range(0, asks.num_rows if posts.num_rows else 0, ASKED):
+        some = asks.slice(start, ASKED)
+        mine = {x: _sets(some, x) for x in ("topic", "words", "lines")}
+        open_ = (column(posts, "n")[None, :] < column(some, "n")[:, None]) & (column(posts, "id")[None, :] != column(some, "id")[:, None])
+        gap = np.maximum(column(some, "seen")[:, None] - column(posts, "seen")[None, :], 0) / 86_400_000_000
+        early = 0.0 + TIME * np.power(0.5, gap / HALF_LIFE) + MENTION * (_common(mine["words"], of["names"]) > 0) + TOPIC * _jaccard(mine["topic"], of["topic"])
+        late = LINES * (np.minimum(_common(mine["lines"], of["lines"]), 2) / 2)
+        sure = np.where(open_, early + late, -1.0)
+        open_ &= sure + WORDS >= np.maximum(sure.max(axis=1, keepdims=True), LEAST) - 1e-9
+        r, c = open_.any(axis=1), open_.any(axis=0)
+        if not r.any():
+            continue
+        cell = np.ix_(r, c)
+        total = np.where(open_[cell], early[cell] + WORDS * _jaccard(_only(mine["words"], r), _only(of["words"], c)) + late[cell], -1.0)
+        most = total.max(axis=1)
+        ids = np.where(total == most[:, None], column(posts, "id")[c][None, :], np.iinfo(np.int64).max).min(axis=1)
+        good = most >= LEAST
+        child.append(column(some, "id")[r][good])
+        target.append(ids[good])
+        score.append(most[good])
+    joined = lambda parts, kind: pa.array(np.concatenate(parts) if parts else [], kind)
+    return pa.table({"child": joined(child, pa.int64()), "target": joined(target, pa.int64()), "score": joined(score, pa.float64())})
+
+
 def channel_links(nodes: DataFrame, asking: DataFrame) -> DataFrame:
-    """(child, target): for each id in asking the latest earlier rows of its engagement that share a subject, are by someone it names, or share a line.
+    """(child, target, score): for each id in asking the likeliest row of each block of the earlier rows of its engagement, where one scores LEAST or more.
 
-    Each is an as-of join over spread groups, so a subject or a phrase that a third of all mail has stays spread. It gives one
-    candidate for each key of a row, so their number grows with the rows, not with their pairs.
+    Every earlier row is scored, by seen and then id; ties go to the smallest target. An engagement is cut into blocks of BLOCK rows
+    by time, and each block of asking rows meets each block no later than it in a task's memory, so a large engagement is spread over
+    many tasks. The work grows with the pairs of rows within an engagement, not with those of the table.
     """
-    box = lambda kind, x: F.xxhash64(F.lit(kind), F.col("engagement_id"), x)
-    posts = nodes.where("engagement_id is not null").select(
-        "id", "seen", F.explode(F.concat(F.array(F.when(F.col("titled"), box("s", F.col("subject")))), F.transform("names", lambda w: box("n", w)), F.transform("lines", lambda w: box("l", w)))).alias("k")
-    )
-    asks = nodes.join(asking.select("id"), "id", "left_semi").where("engagement_id is not null").select(
-        "id", "seen", F.explode(F.concat(F.array(F.when(F.col("titled"), box("s", F.col("subject")))), F.transform("words", lambda w: box("n", w)), F.transform("lines", lambda w: box("l", w)))).alias("k")
-    )
-    posts = cut(posts.where("k is not null"))
-    asks = cut(asks.where("k is not null").join(posts.select("k").distinct(), "k", "left_semi"))
-    posts = posts.join(asks.select("k").distinct(), "k", "left_semi")
-    # a row asks before it posts, so it never finds itself
-    both = asks.select("k", "seen", "id", F.lit(0).alias("posts"), F.lit(None).cast("long").alias("post")).unionByName(posts.select("k", "seen", "id", F.lit(1).alias("posts"), F.col("id").alias("post")))
-    met = spread_last(both, ["k"], ["seen", "id", "posts"], "post", "target").where("posts = 0 and target is not null")
-    return met.select(F.col("id").alias("child"), "target").distinct()
+    held = ["engagement_id", "seen", "id"]
+    nodes = nodes.where("engagement_id is not null")
+    placed = spread_row_number(nodes.select(*held).distinct(), ["engagement_id"], [F.col("seen"), F.col("id")], "n")
+    placed = cut(placed.select(*held, "n", F.floor((F.col("n") - 1) / BLOCK).cast("int").alias("block")))
+    own = placed.join(asking.select("id"), "id", "left_semi").withColumnRenamed("block", "i")
+    blocks = own.select("engagement_id", "i").distinct().withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i"))))
+    asks = nodes.select(*held, "topic", "words", "lines").join(own, held).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("i"))))
+    posts = nodes.select(*held, "topic", "names", "words", "lines").join(placed.withColumnRenamed("block", "j"), held).join(blocks, ["engagement_id", "j"])
+    # new names for the same columns, or the two sides can't be told apart
+    posts = posts.select(*[F.col(x).alias(x) for x in posts.columns])
+    key = ["engagement_id", "i", "j"]
+    return asks.groupBy(*key).cogroup(posts.groupBy(*key)).applyInArrow(_best_of_block, "child long, target long, score double")
 
 
 def inferred_parents(nodes: DataFrame, asking: DataFrame) -> DataFrame:
-    """(child, parent): the likeliest channel link of the rows in asking, where one scores LEAST or more."""
-    scored = _scored(channel_links(nodes, asking).withColumn("stated", F.lit(0)), nodes).where(F.col("score") >= LEAST)
+    """(child, parent): the likeliest of all earlier rows of the engagement for the rows in asking, where one scores LEAST or more; ties to the smallest target."""
     best = F.max(F.struct("score", (-F.col("target")).alias("t"), F.col("target").alias("parent")))
-    return scored.groupBy("child").agg(best.alias("b")).select("child", F.col("b.parent").alias("parent"))
+    return channel_links(nodes, asking).groupBy("child").agg(best.alias("b")).select("child", F.col("b.parent").alias("parent"))
 
 
 def link_trees(starts: DataFrame) -> DataFrame:

@@ -1,6 +1,9 @@
 import random
 from datetime import datetime
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from quaystone.llm import conversations
 from quaystone.llm.conversations import disentangled, sound_conversations
 from quaystone.session import table
@@ -100,3 +103,58 @@ def test_inferred_parents_against_hidden_headers(spark):
     r = asked.join(known, "id").join(told, "id", "left").selectExpr("count(*) n", "count(guess) told", "count_if(guess = parent) good").first()
     print("hidden", r.n, "told", r.told, "good", r.good)
     assert r.good >= 0.6 * r.told and r.told >= 0.5 * r.n
+
+
+def _by_every_pair(nodes, asking):
+    """inferred_parents by the scores of all pairs of an engagement."""
+    asks = nodes.join(asking, "id", "left_semi").selectExpr("engagement_id", "id as child", "seen as asked")
+    posts = nodes.selectExpr("engagement_id", "id as target", "seen as posted")
+    pairs = asks.join(posts, "engagement_id").where("posted < asked or (posted = asked and target < child)").selectExpr("child", "target", "0 as stated")
+    best = {}
+    for r in conversations._scored(pairs, nodes).where(F.col("score") >= conversations.LEAST).collect():
+        best[r.child] = max(best.get(r.child, (0.0, 0)), (r.score, -r.target))
+    return {child: -t for child, (_, t) in best.items()}
+
+
+def test_an_earlier_row_outscores_the_latest_of_each_key(spark):
+    lines = "Please send the signed lease and the bank letter today.", "The deed of the house goes to the town hall."
+    rows = [
+        _mail(1, "a@h", 1, "Ann Oak", "lease of the house", "\n".join(lines)),  # subject, writer and both lines
+        _mail(2, "b@h", 8, "Bob Elm", "lease of the house", "Nothing."), _mail(3, "c@h", 8, "Ann Oak", "x", "Nothing."),
+        _mail(4, "d@h", 8, "Cy Ash", "y", lines[0]), _mail(5, "e@h", 8, "Cy Ash", "z", lines[1]),  # later, with one of these each
+        _mail(6, "f@h", 9, "Eve Fir", "RE: lease of the house", "Dear Ann Oak, as asked.\n" + "\n".join(lines)),
+    ]
+    got = {r.delivery_id: r.parent_id for r in disentangled(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[6] == 1
+
+
+def test_inferred_parents_are_those_of_every_pair(spark, monkeypatch):
+    """Several blocks of an engagement, rows at one instant, equal rows, rows without words, ids that recur, rows that ask for nothing."""
+    rng = random.Random(3)
+    people, subjects = ["Ann Oak", "Bob Elm", "Cy Ash Oak"], ["lease of the house", "RE: lease of the house", "house", "Q1", None, "bank letter"]
+    told = [f"line {i} tells of the {w} and all that belongs to it" for i, w in enumerate(["lease", "deed", "bank", "house"])]
+    texts = [*told, "Dear Ann Oak", "Thanks, Bob", "", "the bank letter", "no"]
+    rows = []
+    for i in range(150):
+        row = list(_mail(i, f"m{i}@h", rng.choice([1, 2, 2, 3, 9, 28]), rng.choice(people), rng.choice(subjects), "\n".join(rng.sample(texts, rng.randrange(4))), eng=rng.choice(["e", "e", "e", "f", None])))
+        row[8] = row[8] if rng.random() < 0.9 else None
+        rows.append(tuple(row))
+    rows += [(*r[:3], f"again{r[0]}@h", *r[4:]) for r in rows[:150:15]]  # the same delivery_id under another message_id
+    nodes = conversations.cut(conversations._nodes(spark.createDataFrame(rows, SCHEMA)))
+    asking = nodes.where("id % 4 <> 1").select("id")
+    want = _by_every_pair(nodes.dropDuplicates(["id"]), asking)
+    for size in (4, 1024):
+        monkeypatch.setattr(conversations, "BLOCK", size)
+        got = [tuple(r) for r in conversations.inferred_parents(nodes, asking).collect()]
+        assert len(got) == len(want) > 50 and dict(got) == want
+
+
+def test_common_values_are_counted_in_any_portion(monkeypatch):
+    rng = random.Random(4)
+    sets = lambda n: [set(rng.sample(range(9), rng.randrange(6))) for _ in range(n)]
+    a, b = sets(20), sets(13)
+    read = lambda x: conversations._sets(pa.table({"x": pa.array([list(v) for v in x], pa.list_(pa.int32()))}), "x")
+    for most in (13, 40, 10_000):
+        monkeypatch.setattr(conversations, "MET", most)
+        assert conversations._common(read(a), read(b)).tolist() == [[len(x & y) for y in b] for x in a]
+        assert conversations._common(read([]), read(b)).shape == (0, 13) and conversations._common(read([set()]), read(b)).tolist() == [[0] * 13]
